@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import licenses
+from graphloom.llm import langid, licenses, secret_scan
 from graphloom.llm.bpe import round_trip_digests
 from graphloom.llm.decontam import contamination_report
 from graphloom.llm.quality import apply_policy, quality_ledger
@@ -67,6 +67,16 @@ FROM cut LEFT JOIN fits ON cut.page_id IS NOT DISTINCT FROM fits.page_id
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_scan.train(spark))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where(~docs.held_out))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("lang_set")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -133,6 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
         "op7_token_orc": op7_token_orc,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
     }
 

@@ -56,6 +56,10 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a character stands for a byte
         self.uneven = regex.compile(r"\s\s")
         self.memo: dict[str, bytes] = {}
         self.limit = memo
@@ -63,6 +67,17 @@ class LibraryEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """As ``_ids`` for parts that begin with their only space: encoded in one go.
+
+        Each part's ids end where the bytes of the tokens so far are as many as
+        those of the parts so far.
+        """
+        ids = np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        cuts, packed = [0, *(ends * 4).tolist()], ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _parts(self, text: str) -> list[str]:
         if self.uneven.search(text) or any(s in text for s in self.special):
             return [text]
@@ -74,7 +89,10 @@ class LibraryEncoder:
         split = [self._parts(t) if t else [] for t in texts]
         memo = self.memo
         if new := list(set().union(*split).difference(memo)):
-            memo.update(zip(new, self._ids(new), strict=True))
+            alone = [p for p in new if p[:1] != " " or p[-1:].isspace()]
+            memo.update(zip(alone, self._ids(alone), strict=True))
+            if inner := list(set(new).difference(alone)):
+                memo.update(zip(inner, self._joined(inner), strict=True))
         out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
         if len(memo) > self.limit:
             memo.clear()
