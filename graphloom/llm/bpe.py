@@ -19,6 +19,7 @@ import hashlib
 import json
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ from graphloom.runtime import ship_package
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _codecs: dict[str, ByteBpe] = {}
 _NONE = 1 << 62
+#: Batches of ids hold so many bytes, and the text that reaches them.
+OUTPUT_BYTES = 8 << 20
 
 
 def byte_chars() -> list[str]:
@@ -233,3 +236,30 @@ def round_trip_digests(df: DataFrame, tokenizer_path: str, text_col: str = "text
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.select(*keep, text_col).mapInArrow(run, schema)
+
+
+def encode_checked(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with n_tokens, ids and round_trip (the ids decode to the text) in place of the text."""
+    ship_package(df.sparkSession)
+    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "ids", "round_trip")]
+    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+
+    def run(batches):
+        bpe = codec(tokenizer_path)
+        for batch in batches:
+            at, packed, same, held = 0, [], [], 0
+            texts = batch.column(text_col)
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                chunks = bpe.chunks(text)
+                packed.append(b"".join(chunks))
+                same.append(bpe.decode_chunks(chunks) == text)
+                held += len(packed[-1])
+                if held >= OUTPUT_BYTES or i + 1 == batch.num_rows:
+                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                    cols = [*(batch.column(c).slice(at, len(packed)) for c in keep), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(same, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                    at, packed, same, held = i + 1, [], [], 0
+
+    return df.select(*keep, text_col).mapInArrow(run, schema)

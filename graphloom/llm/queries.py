@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import langid, licenses, secret_scan
 from graphloom.llm.bpe import round_trip_digests
 from graphloom.llm.decontam import contamination_report
+from graphloom.llm.ngram_join import near_duplicates
 from graphloom.llm.quality import apply_policy, quality_ledger
 from graphloom.llm.token_count import token_counts
 from graphloom.llm.token_orc import token_digests
@@ -26,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -138,6 +143,7 @@ FROM documents d LEFT JOIN per USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_ngram_join": op2_ngram_join,
         "op3_token_counts": op3_token_counts,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_decontamination": op5_decontamination,
