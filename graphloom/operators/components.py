@@ -1,10 +1,16 @@
-"""Connected components as star contraction over edge tables."""
+"""Weakly and strongly connected components, and aggregation over them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.graph import PropertyGraph
+from graphloom.plans.superstep import Cancelled, iterate
 from graphloom.runtime import Scratch
 
 
@@ -51,3 +57,168 @@ def contract_stars(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) ->
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     alone = loops.join(e.select("u").union(e.select("v")).distinct(), "u", "left_anti").select(F.col("u").alias("id"), F.col("u").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).union(alone)
+
+
+@dataclass(frozen=True)
+class Components:
+    """``members`` is (id, component); a component's id is the smallest of its vertices."""
+
+    graph: PropertyGraph
+    members: DataFrame
+    scratch: Scratch
+
+    @cached_property
+    def count(self) -> int:
+        return self.members.select("component").distinct().count()
+
+
+def weakly_connected_components(graph: PropertyGraph) -> Components:
+    """Components by edges of either direction; isolated vertices are their own."""
+    scratch = Scratch(graph.vertices.sparkSession, "wcc")
+    found = contract_stars(graph.edges, scratch)
+    members = graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return Components(graph, scratch.table(members, "members"), scratch)
+
+
+def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_000, cancelled=None) -> Components:
+    """Components whose vertices reach each other along edges.
+
+    Rounds of: trimming vertices without an incoming or outgoing edge;
+    colouring each vertex with the smallest vertex that reaches it; of each
+    colour, the vertices that reach its origin are one component. Edges between
+    components and colours go. Once at most ``local_edges`` edges are left they
+    are finished on the driver, which that number bounds.
+    """
+    spark = graph.vertices.sparkSession
+    scratch = Scratch(spark, "scc")
+    edges = scratch.table(graph.edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    found = None
+    while True:
+        if cancelled and cancelled():
+            raise Cancelled("cancelled")
+        edges = _trim(edges, scratch)
+        left = edges.count()
+        if left == 0:
+            break
+        if left <= local_edges:
+            rows = _tarjan([(r.src, r.dst) for r in edges.toLocalIterator()])
+            part = spark.createDataFrame(rows, T.StructType([T.StructField("id", edges.schema["src"].dataType), T.StructField("component", edges.schema["src"].dataType)]))
+            found = part if found is None else found.union(part)
+            break
+        colour = _reach_min(edges, scratch)
+        ends = edges.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+        inner = scratch.table(ends.where("cs = cd").select("src", "dst", F.col("cs").alias("c")), "inner")
+        part = scratch.table(_back(inner, colour, scratch), "part")
+        found = part if found is None else found.union(part)
+        done = part.select("id")
+        edges = scratch.table(inner.select("src", "dst").join(done, F.col("src") == F.col("id"), "left_anti").join(done, F.col("dst") == F.col("id"), "left_anti"), "edges")
+    ids = graph.vertices.select("id")
+    members = ids.select("id", F.col("id").alias("component")) if found is None else ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return Components(graph, scratch.table(members, "members"), scratch)
+
+
+def _trim(edges: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
+    for _ in range(rounds):
+        before = edges.count()
+        both = edges.select(F.col("src").alias("id")).distinct().intersect(edges.select(F.col("dst").alias("id")).distinct())
+        edges = scratch.table(edges.join(both, F.col("src") == F.col("id"), "left_semi").join(both, F.col("dst") == F.col("id"), "left_semi"), "trimmed")
+        if edges.count() == before:
+            break
+    return edges
+
+
+def _reach_min(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, c): the smallest vertex from which each vertex can be reached."""
+    state = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")).withColumn("new", F.lit(True))
+
+    def step(now: DataFrame, _: dict) -> DataFrame:
+        sent = edges.join(now.where("new").select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        return now.join(sent, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("new"))
+
+    return iterate(scratch, scratch.table(state, "colour"), step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, 1 << 30)[0].select("id", "c")
+
+
+def _back(inner: DataFrame, colour: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) of the vertices that reach their colour's origin within the colour."""
+    state = colour.select("id", "c", (F.col("id") == F.col("c")).alias("hit"), (F.col("id") == F.col("c")).alias("new"))
+
+    def step(now: DataFrame, _: dict) -> DataFrame:
+        sent = inner.join(now.where("new").select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().withColumn("sent", F.lit(True))
+        return now.join(sent, "id", "left").select("id", "c", (F.col("hit") | F.col("sent").isNotNull()).alias("hit"), (~F.col("hit") & F.col("sent").isNotNull()).alias("new"))
+
+    done = iterate(scratch, scratch.table(state, "back"), step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, 1 << 30)[0]
+    return done.where("hit").select("id", F.col("c").alias("component"))
+
+
+def _tarjan(edges: list[tuple]) -> list[tuple]:
+    """(vertex, smallest vertex of its component), with an explicit stack."""
+    follow: dict = {}
+    for a, b in edges:
+        follow.setdefault(a, []).append(b)
+        follow.setdefault(b, [])
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for root in follow:
+        if root in index:
+            continue
+        work = [(root, iter(follow[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, nexts = work[-1]
+            for w in nexts:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(follow[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = [stack.pop()]
+                    while members[-1] != v:
+                        members.append(stack.pop())
+                    on.difference_update(members)
+                    least = min(members)
+                    out += [(m, least) for m in members]
+    return out
+
+
+def component_histogram(components: Components, attribute: str, field: str | None = None) -> DataFrame:
+    """(component, value, count, size): how often each string value occurs in a component.
+
+    Only strings count (or, with ``field``, the string field of an object);
+    components without any have one row with a null value.
+    """
+    graph = components.graph
+    column = F.col(graph.require(attribute))
+    kind = graph.vertices.schema[graph.require(attribute)].dataType
+    if field is not None:
+        if isinstance(kind, T.StructType):
+            value, kind = column.getField(field), kind[field].dataType
+        else:
+            value = F.variant_get(column, f"$.{field}", "variant") if isinstance(kind, T.VariantType) else F.get_json_object(column, f"$.{field}")
+            kind = T.VariantType() if isinstance(kind, T.VariantType) else T.StringType()
+    else:
+        value = column
+    if isinstance(kind, T.VariantType):
+        value = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    elif not isinstance(kind, T.StringType):
+        value = F.lit(None).cast("string")
+    rows = components.members.join(graph.vertices.select("id", value.alias("value")), "id")
+    counts = rows.groupBy("component", "value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("component").agg(F.sum("n").alias("size"))
+    found = counts.where("value is not null").select("component", "value", F.col("n").alias("count"))
+    return sizes.join(found, "component", "left").select("component", "value", "count", "size")
+
+
+def aggregate_components(components: Components, attribute: str, field: str | None = None) -> DataFrame:
+    """(_key, representative, size, aggregation): a map from value to count for each component."""
+    flat = component_histogram(components, attribute, field)
+    pairs = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "count"))))
+    return flat.groupBy("component").agg(F.first("size").alias("size"), F.map_from_entries(pairs).alias("aggregation")).select(F.col("component").cast("string").alias("_key"), F.col("component").alias("representative"), "size", "aggregation")
