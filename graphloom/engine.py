@@ -83,6 +83,8 @@ class Engine:
         self._counts = {"jobs_started": 0}
         self._log = LastLines()
         log.addHandler(self._log)
+        if log.level == logging.NOTSET:
+            log.setLevel(logging.INFO)
 
     # -- the service itself
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,6 @@ from graphloom.plans.superstep import Cancelled, iterate
 from graphloom.runtime import Scratch
 
 
-def _fingerprint(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return row.n, int(row.h)
-
-
 def contract_stars(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(id, component) of every end of ``edges`` (src, dst), component being the smallest id.
 
@@ -44,12 +39,13 @@ def contract_stars(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) ->
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = least.select("u", F.col("m").alias("v"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.table(kept.union(moved).distinct(), "stars")
+        watch = Observation()
+        whole = kept.union(moved).distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
+        e = scratch.table(whole, "stars")
         written.append(e)
-        print_ = _fingerprint(e)
-        if print_ == seen:
+        if watch.get == seen:
             break
-        seen = print_
+        seen = watch.get
         if len(written) > 1:
             scratch.drop(written.pop(0))
     else:
