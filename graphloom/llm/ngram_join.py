@@ -18,13 +18,17 @@ How it runs
    cannot have a partner and is done.
 2. Equal sets become one class; a class's shared shingles are kept in the first
    order, with the second order's prefix beside it.
-3. Prefix shingles that the same classes hold become one group. In rounds, the
-   members of a group are verified against one leader of it, which joins most
-   near copies at once; what is left to verify are pairs of one group that are
-   in different components, and once these are few (or after ``max_rounds``) all
-   of them are verified. Pairs within a component need no verification, so a
-   group of k copies costs about k pairs, and no link that matters is left out.
-4. Links are contracted to components by ``contract_stars``.
+3. Prefix shingles that the same classes hold become one group, and each class
+   is verified against the leader that it shares most groups with. That is one
+   pair for each class and joins most near copies at once.
+4. What may still link are classes of one candidate cluster (classes connected
+   by groups) that step 3 has not connected. They are compared in blocks of
+   bounded size, under both prefix filters, then verified; the largest part of
+   a cluster that is connected already is never compared with itself. A cluster
+   of more than ``cluster_size`` classes is compared group by group instead.
+   Every pair that shares a prefix shingle is either connected or compared, so
+   no link is lost, and no list of pairs is ever made.
+5. Links are contracted to components by ``contract_stars``.
 
 Shingles are 56-bit hashes, equal sets are found by 128-bit hashes; the odds of
 a wrong comparison are about 1e-9 for two texts of ten thousand words.
@@ -269,10 +273,11 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, max_rounds: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, cluster_size: int = 20_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``df``.
 
     ``bucket_bytes``: of text for each bucket of the hash space.
+    ``cluster_size``: candidate clusters of more classes are compared by groups.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -293,7 +298,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
 
     able = whole.where("kind = 1").groupBy("h1", "h2").agg(F.first(F.struct("n", "toks", "prefix", "second")).alias("c"))
     classes = scratch.table(able.select(F.monotonically_increasing_id().alias("k"), "h1", "h2", "c.*"), "classes")
-    links = _links(classes, scratch, percent, max_rounds)
+    links = _links(classes, scratch, percent, cluster_size)
     named = classes.select("h1", "h2", "k").join(links, F.col("k") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "k").alias("root"))
 
     # Equal sets first, then what their classes link to.
@@ -308,55 +313,117 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     return out
 
 
-def _links(classes: DataFrame, scratch: Scratch, percent: int, max_rounds: int) -> DataFrame:
+def _links(classes: DataFrame, scratch: Scratch, percent: int, cluster_size: int) -> DataFrame:
     """(id, component) of the classes that have links."""
-    spark = classes.sparkSession
     # Leaders are texts with few shingles of their own; the class number breaks ties.
     own = ((F.col("n") - F.size("toks")) * 1000 / F.col("n")).cast("int")
     rows = classes.select("k", "n", own.alias("own"), F.explode(F.slice("toks", F.lit(1), F.col("prefix"))).alias("token"))
-    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("c > 1")
-    same = rows.join(held, "token").select(F.xxhash64("c", "s", "lo", "hi").alias("g"), "k", "n", "own").distinct()
-    groups = scratch.table(same, "groups")
-    _release(spark)
-
-    at = F.struct("own", "k", "n").alias("at")
-    leaders = groups.groupBy("g").agg(F.min(at).alias("lead"))
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    # First, each class with the leader it shares most groups with.
-    shared = groups.join(leaders, "g").where(F.col("k") != F.col("lead.k")).where(fits(F.col("n"), F.col("lead.n"))).groupBy("k", F.col("lead.k").alias("a")).agg(F.count(F.lit(1)).alias("w"))
-    pairs = shared.groupBy("k").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", F.col("k").alias("b"))
-    edges = scratch.table(_verify(scratch.table(pairs, "pairs"), classes, percent), "edges")
-    found = scratch.table(contract_stars(edges, scratch), "components")
-    _release(spark)
+    held = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("own", "k", "n")).alias("lead")
+    ).where("c > 1")
+    # Tokens with the same members are one group. A member that shares w tokens with a leader has weight w there.
+    found = rows.join(held, "token").groupBy(F.xxhash64("c", "s", "lo", "hi").alias("g"), "k", "n", "lead").agg(F.count(F.lit(1)).alias("w"))
+    groups = scratch.table(found.select("g", "k", "n", F.col("lead.k").alias("lead"), F.col("lead.n").alias("lead_n"), "w"), "groups")
+    _release(classes.sparkSession)
+
+    # Each class against the leader it shares most with; leaders precede their members, so parents make a forest.
+    fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
+    shared = groups.where((F.col("k") != F.col("lead")) & fits).groupBy("k", "lead").agg(F.sum("w").alias("w"))
+    pairs = scratch.table(shared.groupBy("k").agg(F.max_by("lead", F.struct("w", "lead")).alias("a")).select("a", F.col("k").alias("b")), "pairs")
+    stars = scratch.table(_verify(pairs, classes, percent), "stars")
+    up = lambda name: stars.select(F.col("dst").alias(name), F.col("src").alias(f"{name}_up"))
+    parent = stars.select(F.col("dst").alias("k"), F.col("src").alias("p1")).join(up("p1"), "p1", "left").select("k", F.coalesce("p1_up", "p1").alias("p2")).join(up("p2"), "p2", "left").select("k", F.coalesce("p2_up", "p2").alias("root"))
+
+    # Pairs that may still link are inside one candidate cluster, or one group of a cluster that is too large.
+    cluster = contract_stars(groups.where("k <> lead").select(F.col("k").alias("src"), F.col("lead").alias("dst")).distinct(), scratch)
+    member = scratch.table(cluster.select(F.col("id").alias("k"), "component").join(parent, "k", "left").select("k", "component", F.coalesce("root", "k").alias("root")), "members")
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    small = member.join(sizes.where(F.col("size") <= cluster_size), "component").select(F.col("component").alias("unit"), F.lit(False).alias("part"), "k", "root")
+    large = member.join(sizes.where(F.col("size") > cluster_size), "component").join(groups.select("g", "k"), "k").select(F.col("g").alias("unit"), F.lit(True).alias("part"), "k", "root")
+    more = _compare_units(scratch.table(small.union(large), "units"), classes, scratch, percent)
+    return contract_stars(stars.union(more), scratch)
+
+
+def _compare_units(units: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, block: int = 256) -> DataFrame:
+    """Links (src, dst) between classes of one unit that have different roots.
+
+    A unit's largest root is its major one. Minor classes are held against each
+    other and against the major ones, in blocks of about ``block`` classes of
+    either side; the major ones are one component already and never meet.
+    """
+    key = ["unit", "part"]
+    roots = units.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("c"))
+    counts = roots.groupBy(*key).agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.max("c").alias("majors"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    open_ = units.join(counts, key).select(*key, "k", "root", (F.col("root") == F.col("top")).alias("major"), blocks(F.col("majors")).alias("bm"), blocks(F.col("size") - F.col("majors")).alias("bn"))
+    own = F.pmod(F.xxhash64("k"), F.when(F.col("major"), F.col("bm")).otherwise(F.col("bn"))).cast("int")
+    place = lambda meets, i, j, side: F.struct(F.lit(meets).alias("meets"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    to_minor = F.transform(every(F.col("bn")), lambda x: place(True, x, F.col("own"), F.lit(1)))
+    to_major = F.transform(every(F.col("bm")), lambda x: place(True, F.col("own"), x, F.lit(0)))
+    among = F.transform(every(F.col("bn")), lambda x: place(False, F.least(x, F.col("own")), F.greatest(x, F.col("own")), (x < F.col("own"))))
+    sent = open_.withColumn("own", own).select(*key, "k", "root", F.explode(F.when(F.col("major"), to_minor).otherwise(F.concat(to_major, among))).alias("at")).select(*key, "at.*", "k", "root")
+    full = sent.join(classes.select("k", "n", "toks", "prefix", "second"), "k")
+    return full.groupBy(*key, "meets", "i", "j").applyInArrow(_compare_blocks(percent), "src long, dst long").distinct()
+
+
+class _Index:
+    """Which of some lists hold a token."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.n = len(lists)
+        owners = np.repeat(np.arange(self.n), [len(x) for x in lists])
+        tokens = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        """For each list, how many of ``tokens`` it holds."""
+        lo = np.searchsorted(self.tokens, tokens, "left")
+        runs = np.searchsorted(self.tokens, tokens, "right") - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+        return np.bincount(self.owners[at], minlength=self.n)
+
+
+def _compare_blocks(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        k, root, n, side, prefix = (table.column(c).to_numpy() for c in ("k", "root", "n", "side", "prefix"))
+        lists = lambda c: [np.asarray(v.values) for v in table.column(c).combine_chunks()]
+        toks, second = lists("toks"), lists("second")
+        first = [t[:p] for t, p in zip(toks, prefix, strict=True)]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        if not table.column("meets")[0].as_py() and table.column("i")[0] == table.column("j")[0]:
+            right = left
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        src, dst = [], []
+        if len(left) and len(right):
+            by_first, by_second = _Index([first[r] for r in right]), _Index([second[r] for r in right])
+            for a in left:
+                able = (root[right] != root[a]) & (np.minimum(n[right], n[a]) * 100 >= np.maximum(n[right], n[a]) * percent)
+                if not able.any():
+                    continue
+                able &= by_first.shared(first[a]) > 0
+                if able.any():
+                    able &= by_second.shared(second[a]) > 0
+                for b in right[able]:
+                    x, y = find(int(root[a])), find(int(root[b]))
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(toks[a], toks[b], assume_unique=True))
+                    if 100 * common >= percent * (int(n[a]) + int(n[b]) - common):
+                        parent[max(x, y)] = min(x, y)
+                        src.append(int(k[a]))
+                        dst.append(int(k[b]))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    last = None
-    for step in range(max_rounds + 1):
-        live = groups.join(found.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("root", F.coalesce("component", "k")).drop("component")
-        if last is not None:  # earlier leaders have been held against their whole groups
-            live = live.join(last, "g").where(F.struct("own", "k", "n") > F.col("done")).drop("done")
-        open_ = live.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(at).alias("lead")).where("lo <> hi")
-        left = scratch.table(live.join(open_.select("g", "size", "lead"), "g"), "open")
-        cost = left.select("g", "size").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).first()
-        if not cost.n:
-            break
-        few = cost.pairs <= 2 * left.count() or step == max_rounds
-        if few:
-            x, y = (left.select("g", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "root"))) for s in "xy")
-            tried = x.join(y, "g").where("kx < ky and rootx <> rooty").where(fits(F.col("nx"), F.col("ny"))).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
-        else:
-            lead = left.where(F.col("k") == F.col("lead.k")).select("g", F.col("root").alias("lead_root"))
-            tried = left.join(lead, "g").where("root <> lead_root").where(fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.k").alias("a"), F.col("k").alias("b")).distinct()
-        more = _verify(scratch.table(tried, "pairs"), classes, percent)
-        stars = found.select(F.col("id").alias("src"), F.col("component").alias("dst"))
-        edges = scratch.table(stars.union(more), "edges")
-        found = scratch.table(contract_stars(edges, scratch), "components")
-        _release(spark)
-        if few:
-            break
-        settled = left.select("g", F.col("lead").alias("done")).distinct()
-        groups = left.select("g", "k", "n", "own")
-        last = scratch.table(settled, "settled")
-    return found
+    return run
 
 
 def keep_one(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
