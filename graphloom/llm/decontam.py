@@ -31,7 +31,8 @@ from graphloom.runtime import Scratch, ship_package
 
 # Every ASCII byte but digits and letters separates words; A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+# Words of a text before A-Z are lower-cased.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def words_of(text: str) -> list[bytes]:

@@ -108,16 +108,16 @@ def find_licenses(df: DataFrame, known: DataFrame | None = None, text_col: str =
     """
     spark = df.sparkSession
     known = known_digests(spark) if known is None else known
-    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        known = F.broadcast(known)
-    keep = [c for c in df.columns if c not in (text_col, "document_license", "license_ids", "n_licenses", "_row", "_unit")]
+    small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    keep = [c for c in df.columns if c not in (text_col, "document_license", "license_ids", "n_licenses", "_row", "_unit", "_digest", "_license", "_ids")]
     # The number is given before the explode and used after it, so it need not be the same in another run.
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, units(F.col(text_col)).alias("_unit"))
     each = rows.select("_row", *keep, F.explode_outer("_unit").alias("_unit"))
-    found = each.join(known.select("digest", "license"), F.col("_unit.digest") == F.col("digest"), "left")
-    ids = F.array_sort(F.collect_set("license"))
+    named = known.select(F.col("digest").alias("_digest"), F.col("license").alias("_license"))
+    found = each.join(F.broadcast(named) if small else named, F.col("_unit.digest") == F.col("_digest"), "left")
+    ids = F.array_sort(F.collect_set("_license"))
     return (
         found.groupBy("_row")
-        .agg(*(F.first(c).alias(c) for c in keep), F.max(F.when(F.col("_unit.whole"), F.col("license"))).alias("document_license"), ids.alias("_ids"))
+        .agg(*(F.first(c).alias(c) for c in keep), F.max(F.when(F.col("_unit.whole"), F.col("_license"))).alias("document_license"), ids.alias("_ids"))
         .select(*keep, "document_license", F.array_join("_ids", ",").alias("license_ids"), F.size("_ids").cast("long").alias("n_licenses"))
     )
