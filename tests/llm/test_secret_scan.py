@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+import pytest
+
+from graphloom.llm import queries
+from graphloom.llm import secret_scan as S
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return S.train(spark)
+
+
+def feature_rows(spark, findings):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(findings, "before string, candidate string, after string, label int")
+    cols = S.features(F.col("before"), F.col("candidate"), F.col("after"))
+    return df.select("label", F.array(*cols).alias("x")).collect()
+
+
+def test_held_out_findings(spark, forest):
+    rows = feature_rows(spark, S.sample_findings(2000, seed=99))
+    right = sum((forest.score(r.x) >= 0.5) == bool(r.label) for r in rows)
+    assert right / len(rows) > 0.97
+
+
+def test_expression_is_the_forest(spark, forest):
+    from pyspark.sql import functions as F
+
+    findings = S.sample_findings(300, seed=5)
+    rows = feature_rows(spark, findings)
+    df = spark.createDataFrame([(r.x,) for r in rows], "x array<double>")
+    got = [r[0] for r in df.select(forest.column(F.col("x"))).collect()]
+    assert got == pytest.approx([forest.score(r.x) for r in rows])
+
+
+def test_training_is_repeatable(spark, forest):
+    findings = spark.createDataFrame(S.sample_findings(), "before string, candidate string, after string, label int")
+    assert S.train(spark, findings.repartition(5)).trees == forest.trees
+
+
+def test_scan_and_redact(spark, forest):
+    text = f'Über token = "{HEX}" and card 4417744280351547, commit {HEX}.\npassword: ghp_{"a1B2" * 9}!'
+    rows = [(1, text, 9), (2, None, 9), (3, "", 9), (4, "plain words", 9), (4, "plain words", 9), (None, text, 9), (5, ("filler " * 20_000) + text, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = S.scan_secrets(df, forest).collect()
+    for r in got:
+        for c in r.candidates:
+            assert r.text[c.start : c.start + len(c.candidate)] == c.candidate
+        assert [c.candidate for c in r.candidates] == ([m[0] for m in re.finditer(S.CANDIDATE, r.text)] if r.text else [])
+    secrets = [c.candidate for c in next(r for r in got if r.doc_id == 1).candidates if c.secret]
+    assert secrets == [HEX, "ghp_" + "a1B2" * 9]
+    clean = S.redact_secrets(df, forest).collect()
+    one = next(r for r in clean if r.doc_id == 1)
+    assert one.text == text.replace(f'"{HEX}"', '"[SECRET]"').replace("ghp_" + "a1B2" * 9, "[SECRET]") and one.n_chars == len(one.text)
+    assert [(r.text, r.n_chars) for r in clean if r.doc_id in (2, 3, 4)] == [(None, 9), ("", 9), ("plain words", 9), ("plain words", 9)]
+    assert S.secret_report(df.limit(0), forest).count() == 0
+
+
+def test_query(spark, sf_dir, forest):
+    report = queries.op8_secret_scan(spark, sf_dir)
+    assert not re.search("Python|Pandas|Arrow|Exchange", report._jdf.queryExecution().executedPlan().toString())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in report.collect():
+        text = docs[r.doc_id]
+        assert r.n_candidates == len(re.findall(S.CANDIDATE, text))
+        starts = [int(x) for x in r.secret_starts.split(",") if x]
+        assert r.n_secrets == len(starts)
+        out, at = "", 0
+        for m in re.finditer(S.CANDIDATE, text):
+            if m.start() in starts:
+                out, at = out + text[at : m.start()] + S.MASK, m.end()
+        assert r.redacted_sha256 == hashlib.sha256((out + text[at:]).encode()).hexdigest()
