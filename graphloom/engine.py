@@ -159,9 +159,12 @@ class Engine:
         self.spark.sparkContext.cancelJobGroup(f"graphloom-{id(self)}-{job_id}")
 
     def drop_job(self, job_id: int) -> None:
+        """Forget a job, stop it if it still runs, and delete its written tables."""
         self.cancel(job_id)
         with self._lock:
-            del self._jobs[job_id]
+            job = self._jobs.pop(job_id)
+        if job.done and hasattr(job.result, "scratch"):
+            job.result.scratch.close()
 
     def results(self, job_id: int, ids: list | None = None) -> DataFrame:
         """A finished job's result, of some vertices or all."""

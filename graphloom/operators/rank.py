@@ -36,7 +36,8 @@ def _power_iteration(graph: PropertyGraph, base: DataFrame, supersteps: int, dam
     degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     # One row for each distinct edge: what it passes on of its source's rank.
     links = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(degrees, "src").select("src", "dst", (F.col("times") * damping / F.col("out")).alias("part"))
-    links = scratch.table(links, "links")
+    # Dealt by source once and kept, so that no superstep moves edges; the written table is what it is made from.
+    links = scratch.table(links, "links").repartition("src").persist()
     first = base.join(degrees, base["id"] == degrees["src"], "left").select("id", "base", F.col("out").isNull().alias("sink"), F.col("base").alias("rank"), F.lit(0.0).alias("moved"))
     first = scratch.table(first, "ranks")
     n, mass = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
@@ -49,6 +50,7 @@ def _power_iteration(graph: PropertyGraph, base: DataFrame, supersteps: int, dam
 
     metrics = {"moved": F.max("moved"), "sinks": F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0))}
     state, steps = iterate(scratch, first, step, metrics, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps, {"sinks": mass}, cancelled)
+    links.unpersist()
     return Ranks(state.select("id", "rank"), steps, scratch)
 
 

@@ -82,8 +82,19 @@ def from_definition(spark: SparkSession, definition: str | dict, root: str = "",
     return from_collections(spark, [at(c) for c in vertices], [at(c) for c in edges], fmt, name=definition.get("name", "graph"), **more)
 
 
-def load(spark: SparkSession, graph_name: str | dict | None = None, vertex_collections: list[str] | None = None, edge_collections: list[str] | None = None, **more) -> PropertyGraph:
-    """By definition or by both lists of collections, never both."""
+def load(spark: SparkSession, graph_name: str | dict | None = None, vertex_collections: list[str] | None = None, edge_collections: list[str] | None = None, database: str | None = None, parallelism: int | None = None, batch_size: int | None = None, **more) -> PropertyGraph:
+    """By definition or by both lists of collections, never both.
+
+    ``database`` is the folder that the collections' names are relative to.
+    ``parallelism`` and ``batch_size`` are accepted and have no effect: Spark
+    splits files by size.
+    """
+    if database:
+        at = lambda c: c if "/" in c else f"{database.rstrip('/')}/{c}"
+        vertex_collections = [at(c) for c in vertex_collections or []]
+        edge_collections = [at(c) for c in edge_collections or []]
+        if graph_name:
+            more.setdefault("root", database)
     if graph_name and (vertex_collections or edge_collections):
         raise GraphError("give a graph name or collections, not both")
     if graph_name:

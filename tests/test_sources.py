@@ -116,3 +116,10 @@ def test_custom_limits(spark):
         custom(g, lambda e: {}, "elsewhere")
     with pytest.raises(TypeError):
         custom(g, "worker")
+
+
+def test_load_relative_to_a_database(spark, collections):
+    g = readers.load(spark, vertex_collections=["v", "w"], edge_collections=["e"], database=f"file://{collections}", parallelism=5, batch_size=400_000)
+    assert g.edge_count == 2
+    named = {"edgeDefinitions": [{"collection": "e", "from": ["v"], "to": ["w"]}]}
+    assert readers.load(spark, named, database=f"file://{collections}").edge_count == 2
