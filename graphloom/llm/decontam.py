@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.rows import boxed, unboxed
 from graphloom.runtime import Scratch, ship_package
 
 # Every ASCII byte but digits and letters separates words; A-Z become a-z.
@@ -171,4 +172,4 @@ def contaminated_spans(df: DataFrame, benchmark: DataFrame, window: int = 10, te
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without any window of the benchmark, with ``df``'s columns."""
-    return find_contamination(df, benchmark, window, text_col).where(F.size("spans") == 0).select(*df.columns)
+    return unboxed(find_contamination(boxed(df, F.col(text_col).alias("text")), benchmark, window).where(F.size("spans") == 0))

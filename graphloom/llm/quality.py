@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.rows import boxed, unboxed
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -144,4 +146,4 @@ def ablations(ledger: DataFrame) -> DataFrame:
 
 def keep_good(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with ``df``'s columns only."""
-    return apply_policy(quality_ledger(df, text_col), policy, "_kept").where("_kept").select(*df.columns)
+    return unboxed(apply_policy(quality_ledger(boxed(df, F.col(text_col).alias("text"))), policy).where("kept"))

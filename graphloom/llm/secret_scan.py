@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.quality import let
+from graphloom.llm.rows import ROW, boxed
 
 # What a candidate looks like.
 CHARS = r"[A-Za-z0-9+/_=\-]"
@@ -239,11 +240,12 @@ def redacted(text: Column, candidates: Column, mask: str = MASK) -> Column:
 
 def redact_secrets(df: DataFrame, forest: Forest, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with secrets masked in the text and, where there is such a column, its length."""
-    found = scan_secrets(df.withColumn("_text", F.col(text_col)), forest, "_text").withColumn("_text", redacted(F.col("_text"), F.col("candidates")))
-    new = {text_col: F.col("_text")}
+    found = scan_secrets(boxed(df, F.col(text_col).alias("text")), forest).withColumn("text", redacted(F.col("text"), F.col("candidates")))
+    new = {text_col: F.col("text")}
     if length_col in df.columns:
-        new[length_col] = F.when(F.exists("candidates", lambda c: c["secret"]), F.length("_text")).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType)
-    return found.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns))
+        changed = F.exists("candidates", lambda c: c["secret"])
+        new[length_col] = F.when(changed, F.length("text")).otherwise(F.col(f"{ROW}.`{length_col}`")).cast(df.schema[length_col].dataType)
+    return found.select(*(new.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in df.columns))
 
 
 def secret_report(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:

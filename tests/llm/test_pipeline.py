@@ -49,3 +49,22 @@ def test_pipeline(spark, sf_dir):
 def test_run_is_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    good = " ".join(f"w{i}" for i in range(80))
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, t, "x", "y", 5, 1, 2, 3, 4, 5, 6) for i, t in [(1, good), (2, good + " end"), (2, good + " end"), (3, None), (4, ""), (None, good[::-1]), (5, " ".join(f"v{i}" for i in range(50_000))), (6, " ".join(f"u{i}" for i in range(90)) + f' token = "{token}"')]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, spans int, candidates int, ids int, kept int, _row int")
+    now = df
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf_dir).count() == 0, name
+        was, now = now, stage(spark, now, sf_dir)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert now.columns == df.columns
+            assert all(tuple(r[5:]) == (1, 2, 3, 4, 5, 6) for r in now.collect()), name
+    assert sorted((r.doc_id or 0) for r in was.collect()) == [0, 1, 5, 6]
+    assert all(token not in r.text for r in was.collect())
+    assert now.count() == 4 and all(r.round_trip for r in now.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, sf_dir).count() > 0

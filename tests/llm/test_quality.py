@@ -43,7 +43,7 @@ def test_measures(spark):
         assert {k: got[i][k] for k in want} == want, repr(t)
     kept = keep_good(df, "v1")
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in rows if not brute(t)["fail_bits"] & POLICIES["v1"]]
+    assert sorted((r.doc_id, r.n_words) for r in kept.collect()) == [(i, "own") for i, t in rows if not brute(t)["fail_bits"] & POLICIES["v1"]]
 
 
 def test_long_repetitive_text(spark):

@@ -56,3 +56,8 @@ def test_table(spark, block):
 
 def test_query(spark, sf_dir, duck):
     same_rows(queries.op1_url_filter(spark, sf_dir), duck, queries.OP1_SQL)
+
+
+def test_only_needed_columns_are_read(spark, sf_dir):
+    plan = queries.op1_url_filter(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan and "Exchange" not in plan
