@@ -25,13 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.cache import Memo
+from graphloom.llm.cache import Memo, only
 from graphloom.runtime import ship_package
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_codecs: dict[str, ByteBpe] = {}
-_NONE = 1 << 62
+_NONE = 1 << 100
 #: Batches of ids hold so many bytes, and the text that reaches them.
 OUTPUT_BYTES = 8 << 20
 
@@ -53,9 +52,14 @@ def byte_chars() -> list[str]:
 
 
 class MergeTree:
-    """Merges the symbols of one piece; ``pairs`` maps (a, b) to (rank, merged id)."""
+    """Merges the symbols of one piece.
 
-    def __init__(self, pairs: dict):
+    ``pairs`` maps a << 20 | b to rank << 20 | merged id. A leaf is that value
+    with the pair's place in its low bits, so the root alone tells the rank,
+    the merged symbol and where it goes.
+    """
+
+    def __init__(self, pairs: dict[int, int]):
         self.pairs = pairs
 
     def encode(self, ids: list[int]) -> list[int]:
@@ -64,121 +68,137 @@ class MergeTree:
             return ids
         get = self.pairs.get
         shift = n.bit_length()
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [_NONE] * (2 * size)
-        any_pair = False
-        for i in range(n - 1):
-            if (found := get((ids[i], ids[i + 1]))) is not None:
-                tree[size + i] = found[0] << shift | i
-                any_pair = True
-        if not any_pair:
+        size = 1 << (n - 2).bit_length()
+        leaves = [_NONE] * size
+        found, left = 0, ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            value = get(left << 20 | right)
+            if value is not None:
+                leaves[i - 1] = value << shift | (i - 1)
+                found += 1
+            left = right
+        if not found:
             return ids
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+        levels, level = [], leaves
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        tree = [_NONE]
+        for level in reversed(levels):
+            tree += level
+        tree += leaves
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         mask = (1 << shift) - 1
         while (least := tree[1]) != _NONE:
             i = least & mask
             j = after[i]
-            ids[i] = merged = get((ids[i], ids[j]))[1]
+            ids[i] = merged = least >> shift & 1048575
             ids[j] = -1
-            after[i] = k = after[j]
-            changed = [(j, _NONE)] if j < n - 1 else []
+            k = after[i] = after[j]
+            b = c = size + i
+            if j < n - 1:
+                c = size + j
+                tree[c] = _NONE
             if k < n:
                 before[k] = i
-                found = get((merged, ids[k]))
-                changed.append((i, _NONE if found is None else found[0] << shift | i))
+                value = get(merged << 20 | ids[k])
+                tree[b] = _NONE if value is None else value << shift | i
             else:
-                changed.append((i, _NONE))
-            if (h := before[i]) >= 0:
-                found = get((ids[h], merged))
-                changed.append((h, _NONE if found is None else found[0] << shift | h))
-            for place, value in changed:
-                node = size + place
-                if tree[node] == value:
-                    continue
-                tree[node] = value
-                while node > 1:
-                    other = tree[node ^ 1]
-                    node >>= 1
-                    if other < value:
-                        value = other
-                    if tree[node] == value:
-                        break
-                    tree[node] = value
+                tree[b] = _NONE
+            a = b
+            h = before[i]
+            if h >= 0:
+                a = size + h
+                value = get(ids[h] << 20 | merged)
+                tree[a] = _NONE if value is None else value << shift | h
+            # The three leaves' ancestors, level by level; where they are the same node it is done once.
+            while a > 1:
+                a >>= 1
+                b >>= 1
+                c >>= 1
+                x, y = tree[a + a], tree[a + a + 1]
+                tree[a] = x if x < y else y
+                if b != a:
+                    x, y = tree[b + b], tree[b + b + 1]
+                    tree[b] = x if x < y else y
+                if c != b:
+                    x, y = tree[c + c], tree[c + c + 1]
+                    tree[c] = x if x < y else y
         return [x for x in ids if x >= 0]
 
 
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         chars = byte_chars()
         self.byte_ids = [vocab[c] for c in chars]
-        pairs = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        pairs = {vocab[a] << 20 | vocab[b]: r << 20 | vocab[a + b] for r, (a, b) in enumerate(merges)}
         self.tree = MergeTree(pairs)
         to_byte = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
+        bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        every = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        self.table = np.frombuffer(b"".join(every), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in every])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
         self.uneven = regex.compile(r"\s\s")
-        self.piece = Memo(self._piece, memo)
-        self.chunk = Memo(self._chunk, memo)
-        self.decoded = Memo(self._decoded, memo)
+        self.piece = Memo(self._piece, memo * 8 // 5)
+        self.word = Memo(lambda w: self._chunk(" " + w), memo)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.tree.encode([self.byte_ids[b] for b in piece.encode()])
+        ids = self.tree.encode(list(map(self.byte_ids.__getitem__, piece.encode())))
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces.findall(chunk)))
 
-    def _decoded(self, packed: bytes) -> bytes:
-        ids = memoryview(packed).cast("I") if len(packed) % 4 == 0 else ()
-        return b"".join(self.bytes_of[i] for i in ids)
-
-    def chunks(self, text: str) -> list[bytes]:
-        """Packed ids (little-endian, unsigned, 32 bits) of consecutive parts of a text."""
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
+            return b""
         if self.at_special and any(s in text for s in self.special):
-            parts = self.at_special.split(text)
-            return [x for p in parts if p for x in ([pack("<I", self.special[p])] if p in self.special else self._plain(p))]
+            return b"".join(pack("<I", self.special[p]) if p in self.special else self._plain(p) for p in self.at_special.split(text) if p)
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[bytes]:
+    def _plain(self, text: str) -> bytes:
         if self.uneven.search(text):
-            return list(map(self.piece.__getitem__, self.pieces.findall(text)))
+            return self._chunk(text)
         # With no two white spaces side by side, a space always starts a piece.
-        first, *rest = text.split(" ")
-        out = list(map(self.chunk.__getitem__, [" " + r for r in rest]))
-        return [self.chunk[first], *out] if first else out
-
-    def encode_packed(self, text: str) -> bytes:
-        return b"".join(self.chunks(text))
-
-    def decode_chunks(self, chunks: list[bytes]) -> str:
-        return b"".join(map(self.decoded.__getitem__, chunks)).decode("utf-8", "replace")
+        words = text.split(" ")
+        first = words.pop(0)
+        return self._chunk(first) + b"".join(map(self.word.__getitem__, words))
+
+    def decode_packed(self, packed: bytes) -> str:
+        """The text of packed ids: the bytes of their tokens, gathered from one table."""
+        ids = np.frombuffer(packed, dtype="<u4")
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.table[at].tobytes().decode("utf-8", "replace")
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """Packed ids of a text, and the text that they decode to."""
+        packed = self.encode_packed(text)
+        return packed, self.decode_packed(packed)
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed(text)).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_packed(np.asarray(ids, dtype="<u4").tobytes())
 
 
 def codec(path: str) -> ByteBpe:
     """One codec for each file and Python worker."""
-    if path not in _codecs:
-        _codecs[path] = ByteBpe(path)
-    return _codecs[path]
+    return only(("bpe", path), lambda: ByteBpe(path))
 
 
 def encode_column(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -227,11 +247,10 @@ def round_trip_digests(df: DataFrame, tokenizer_path: str, text_col: str = "text
         for batch in batches:
             n, ids, texts = [], [], []
             for value in batch.column(text_col):
-                chunks = bpe.chunks(value.as_py() or "")
-                packed = b"".join(chunks)
+                packed, decoded = bpe.round_trip(value.as_py() or "")
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
-                texts.append(hashlib.sha256(bpe.decode_chunks(chunks).encode()).hexdigest())
+                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
             cols = [*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -251,9 +270,9 @@ def encode_checked(df: DataFrame, tokenizer_path: str, text_col: str = "text") -
             texts = batch.column(text_col)
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                chunks = bpe.chunks(text)
-                packed.append(b"".join(chunks))
-                same.append(bpe.decode_chunks(chunks) == text)
+                ids, decoded = bpe.round_trip(text)
+                packed.append(ids)
+                same.append(decoded == text)
                 held += len(packed[-1])
                 if held >= OUTPUT_BYTES or i + 1 == batch.num_rows:
                     ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)

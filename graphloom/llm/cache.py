@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+_held: list = [None, None]
+
+
+def only(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept in this Python worker until another key is asked for.
+
+    A worker serves one operator after another; what it holds for speed is
+    that of the last one only, so memory does not add up over a pipeline.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
+
 
 class Memo(dict):
     """Two generations of at most ``limit`` entries each: hits cost one dict lookup.
@@ -19,12 +36,9 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.function(key)
-        self.remember(key, value)
-        return value
-
-    def remember(self, key, value) -> None:
         if len(key) <= self.max_key:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
+        return value

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.cache import Memo
+from graphloom.llm.cache import Memo, only
 from graphloom.runtime import ship_package
 
 SPACE = "▁"
-_models: dict[str, PieceCounter] = {}
 
 
 class PieceCounter:
@@ -103,9 +102,7 @@ class PieceCounter:
 
 def counter(path: str) -> PieceCounter:
     """One counter for each model and Python worker."""
-    if path not in _models:
-        _models[path] = PieceCounter(path)
-    return _models[path]
+    return only(("pieces", path), lambda: PieceCounter(path))
 
 
 def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
