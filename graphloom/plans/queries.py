@@ -349,6 +349,13 @@ ORACLES: dict[str, str] = {
     "irank": rank_sql(GEO, STEPS, True),
     "linerank": line_rank_sql(STEPS),
     "wcc": WCC_USERS + "\nSELECT id, component FROM cc",
+    "wcc_sizes": f"""WITH RECURSIVE {OPS.strip()},
+{BOTH_WAYS},
+cc(id, component) USING KEY (id) AS (
+  SELECT id, id FROM v
+  UNION
+  SELECT s.src, min(n.component) FROM cc n JOIN s ON s.dst = n.id JOIN recurring.cc x ON x.id = s.src WHERE n.component < x.component GROUP BY s.src)
+SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM cc GROUP BY component) GROUP BY size""",
     "scc": SCC_USERS + "\nSELECT id, component FROM cc",
     "scc_distributed": SCC_USERS + "\nSELECT id, component FROM cc",
     "aggregate_wcc": f"{WCC_USERS},\n{_HISTOGRAM}\nSELECT component, value, n, size FROM h JOIN z USING (component)",
