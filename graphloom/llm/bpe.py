@@ -7,7 +7,7 @@ A merge changes three leaves, each updated in logarithmic time, until the root
 says that no pair can be merged.
 
 Texts are split by the pre-tokenizer's pattern; merges never cross a piece, so
-pieces are encoded once and remembered in a memo of bounded size. A piece may
+a piece is merged once and remembered in a memo of bounded size. A piece may
 have any length. A special token's string inside a text becomes that token.
 
 Null texts count as empty and give no ids. Rows are mapped one to one.
@@ -25,14 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.cache import Memo, only
+from graphloom.llm.cache import Memo, only, tidied
+from graphloom.llm.words import encode_texts
 from graphloom.runtime import ship_package
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 100
-#: Batches of ids hold so many bytes, and the text that reaches them.
-OUTPUT_BYTES = 8 << 20
 
 
 def byte_chars() -> list[str]:
@@ -150,50 +149,46 @@ class ByteBpe:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
-        self.uneven = regex.compile(r"\s\s")
-        self.piece = Memo(self._piece, memo * 8 // 5)
-        self.word = Memo(lambda w: self._chunk(" " + w), memo)
+        self.piece = Memo(self._piece, memo)
 
     def _piece(self, piece: str) -> bytes:
+        """Packed ids (little-endian, unsigned, 32 bits)."""
         ids = self.tree.encode(list(map(self.byte_ids.__getitem__, piece.encode())))
         return pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces.findall(chunk)))
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
 
-    def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def _whole(self, text: str) -> bytes:
         if self.at_special and any(s in text for s in self.special):
-            return b"".join(pack("<I", self.special[p]) if p in self.special else self._plain(p) for p in self.at_special.split(text) if p)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if self.uneven.search(text):
-            return self._chunk(text)
-        # With no two white spaces side by side, a space always starts a piece.
-        words = text.split(" ")
-        first = words.pop(0)
-        return self._chunk(first) + b"".join(map(self.word.__getitem__, words))
-
-    def decode_packed(self, packed: bytes) -> str:
-        """The text of packed ids: the bytes of their tokens, gathered from one table."""
-        ids = np.frombuffer(packed, dtype="<u4")
+            return b"".join(pack("<I", self.special[p]) if p in self.special else self._pieces(p) for p in self.at_special.split(text) if p)
+        return self._pieces(text)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        packed = [self._pieces(" " + w) for w in words]
+        return np.frombuffer(b"".join(packed), dtype="<i4"), np.array([len(p) // 4 for p in packed], dtype=np.int64)
+
+    def batches(self, texts: pa.Array | list[str | None]):
+        """(number of texts, offsets, ids) of consecutive parts of ``texts``."""
+        whole = lambda group: [np.frombuffer(self._whole(t), dtype="<i4") for t in group]
+        return encode_texts(texts, list(self.special), self._words, whole)
+
+    def token_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens, gathered from one table."""
         sizes = self.sizes[ids]
-        at = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return self.table[at].tobytes().decode("utf-8", "replace")
+        return self.table[np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
-    def round_trip(self, text: str) -> tuple[bytes, str]:
-        """Packed ids of a text, and the text that they decode to."""
-        packed = self.encode_packed(text)
-        return packed, self.decode_packed(packed)
+    def decoded(self, ends: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of ids [ends[k], ends[k + 1])."""
+        data = self.token_bytes(ids).tobytes()
+        cuts = np.concatenate(([0], np.cumsum(self.sizes[ids])))[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return memoryview(self.encode_packed(text)).cast("I").tolist()
+        return memoryview(self._whole(text)).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_packed(np.asarray(ids, dtype="<u4").tobytes())
+        return self.token_bytes(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", "replace")
 
 
 def codec(path: str) -> ByteBpe:
@@ -201,19 +196,32 @@ def codec(path: str) -> ByteBpe:
     return only(("bpe", path), lambda: ByteBpe(path))
 
 
-def encode_column(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the text replaced by its token ids (an array of ints)."""
+def _mapped(df: DataFrame, tokenizer_path: str, text_col: str, out: list[T.StructField], make) -> DataFrame:
+    """``df`` with columns of ``make(codec, texts, ends, ids)`` in place of the text."""
     ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, ids_col)]
-    schema = T.StructType([df.schema[c] for c in keep]).add(ids_col, T.ArrayType(T.IntegerType(), False))
+    keep = [c for c in df.columns if c not in (text_col, *(f.name for f in out))]
+    schema = T.StructType([*(df.schema[c] for c in keep), *out])
 
     def run(batches):
-        encode = codec(tokenizer_path).encode
+        bpe = codec(tokenizer_path)
         for batch in batches:
-            ids = pa.array([encode(v.as_py() or "") for v in batch.column(text_col)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=schema.names)
+            texts, at = batch.column(text_col), 0
+            for n, ends, ids in bpe.batches(texts):
+                cols = [*(batch.column(c).slice(at, n) for c in keep), *make(bpe, texts.slice(at, n), ends, ids)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                at += n
+
+    return df.select(*keep, text_col).mapInArrow(tidied(run), schema)
+
+
+def _lists(ends: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+
 
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+def encode_column(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with the text replaced by its token ids (an array of ints)."""
+    out = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    return _mapped(df, tokenizer_path, text_col, out, lambda bpe, texts, ends, ids: [_lists(ends, ids)])
 
 
 def decode_column(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -228,7 +236,7 @@ def decode_column(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text
             texts = pa.array([decode(v.as_py() or []) for v in batch.column(ids_col)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=schema.names)
 
-    return df.select(*keep, ids_col).mapInArrow(run, schema)
+    return df.select(*keep, ids_col).mapInArrow(tidied(run), schema)
 
 
 def round_trip_digests(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -237,48 +245,23 @@ def round_trip_digests(df: DataFrame, tokenizer_path: str, text_col: str = "text
     Each text is encoded and its ids decoded again; only digests leave the
     worker, so a row stays small however long its text.
     """
-    ship_package(df.sparkSession)
-    out = ("n_tokens", "ids_sha256", "decoded_sha256")
-    keep = [c for c in df.columns if c not in (text_col, *out)]
-    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", T.LongType()).add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
+    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    def run(batches):
-        bpe = codec(tokenizer_path)
-        for batch in batches:
-            n, ids, texts = [], [], []
-            for value in batch.column(text_col):
-                packed, decoded = bpe.round_trip(value.as_py() or "")
-                n.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            cols = [*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+    def make(bpe, texts, ends, ids):
+        packed, cuts = ids.astype("<u4").tobytes(), (ends.astype(np.int64) * 4).tolist()
+        of_ids = [hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        of_texts = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decoded(ends, ids)]
+        return [pa.array(np.diff(ends).astype(np.int64)), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
 
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+    return _mapped(df, tokenizer_path, text_col, out, make)
 
 
 def encode_checked(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with n_tokens, ids and round_trip (the ids decode to the text) in place of the text."""
-    ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "ids", "round_trip")]
-    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
 
-    def run(batches):
-        bpe = codec(tokenizer_path)
-        for batch in batches:
-            at, packed, same, held = 0, [], [], 0
-            texts = batch.column(text_col)
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                ids, decoded = bpe.round_trip(text)
-                packed.append(ids)
-                same.append(decoded == text)
-                held += len(packed[-1])
-                if held >= OUTPUT_BYTES or i + 1 == batch.num_rows:
-                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-                    cols = [*(batch.column(c).slice(at, len(packed)) for c in keep), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(same, pa.bool_())]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                    at, packed, same, held = i + 1, [], [], 0
-
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+    def make(bpe, texts, ends, ids):
+        same = [(t or "") == back for t, back in zip(texts.to_pylist(), bpe.decoded(ends, ids), strict=True)]
+        return [pa.array(np.diff(ends).astype(np.int64)), _lists(ends, ids), pa.array(same, pa.bool_())]
+
+    return _mapped(df, tokenizer_path, text_col, out, make)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.cache import tidied
 from graphloom.llm.rows import boxed, unboxed
 from graphloom.runtime import Scratch, ship_package
 
@@ -115,7 +116,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, te
             scratch = scratch or Scratch(spark, "decontam")
             out = scratch.table(out, "block")
         shared = spark.sparkContext.broadcast((window, block))
-        out = out.mapInArrow(_scanner(shared, text_col, keep, first), schema)
+        out = out.mapInArrow(tidied(_scanner(shared, text_col, keep, first)), schema)
         first = False
     return out
 

@@ -12,7 +12,8 @@ How it runs
 -----------
 1. Each task hashes its texts' shingles, keeps one copy of equal sets, and sends
    the hashes, sorted and packed, to range buckets of the hash space; how many
-   buckets follows from the size of the texts. A bucket finds its shingles'
+   buckets follows from the size of the texts. A shingle that many texts of a
+   block hold is sent once, with their number. A bucket finds its shingles'
    document frequencies and answers the block a text came from, for shared
    shingles only. A text of which too few shingles are shared with any other
    cannot have a partner and is done.
@@ -49,17 +50,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.cache import Memo
+from graphloom.llm.cache import Memo, only, tidied
 from graphloom.operators.components import contract_stars
 from graphloom.runtime import Scratch, ship_package
 
 BITS = 56
 #: Shingles of one block (a part of a task's texts) at most, besides one text's.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _EXCHANGE = "bucket int, block long, base long, width int, tok binary, own binary, freq binary, ids array<long>, meta binary"
-_hashes: Memo | None = None
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,12 +68,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _hashes
-    if _hashes is None:
-        import xxhash
+    hashes = only(("words",), _word_memo)
+    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
-        _hashes = Memo(xxhash.xxh3_64_intdigest)
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+def _word_memo() -> Memo:
+    import xxhash
+
+    return Memo(xxhash.xxh3_64_intdigest)
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -136,15 +138,24 @@ def _shingle(n: int, buckets: int):
     edges = np.array([-(-(k << BITS) // buckets) for k in range(1, buckets)], dtype=np.uint64)
 
     def block_rows(block: int, ids: list, sets: list[np.ndarray], meta: list[tuple[int, int, int]]):
-        yield (block % buckets, block, 0, 0, None, None, None, ids, np.array(meta, dtype=np.int64).tobytes())
+        home = block % buckets
+        yield (home, block, 0, 0, None, None, None, ids, np.array(meta, dtype=np.int64).tobytes())
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
         order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
-        cuts = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
-        for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                yield (bucket, block, *_pack(tokens[a:b]), owners[a:b].tobytes(), None, None, None)
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+        runs = np.diff(np.append(first, len(tokens)))
+        # A shingle that several texts of the block hold goes to its bucket once, with their number.
+        many = np.repeat(runs > 1, runs)
+        if many.any():
+            yield (home, block, *_pack(tokens[many]), owners[many].tobytes(), None, None, None)
+        for part, notes, column in ((tokens[~many], owners[~many], 0), (tokens[first[runs > 1]], runs[runs > 1].astype(np.uint32), 1)):
+            cuts = [0, *np.searchsorted(part, edges).tolist(), len(part)]
+            for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    note = notes[a:b].tobytes()
+                    yield (bucket, block, *_pack(part[a:b]), *((note, b"") if column == 0 else (None, note)), None, None)
 
     def rows(batches):
         from pyspark import TaskContext
@@ -172,34 +183,40 @@ def _shingle(n: int, buckets: int):
 
 
 def _count(batches):
-    """One bucket: document frequencies of its shingles, answered to each block for shared ones."""
+    """One bucket: document frequencies of its shingles, answered to each block for shared ones.
+
+    Rows with ``freq`` are questions: with owners, of shingles that one text of
+    the block holds; without, of those that ``freq`` many hold. Others pass.
+    """
 
     def rows():
-        got, parts = [], []
+        asked, parts, weights = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["tok"] is None:
+                if r["freq"] is None:
                     yield tuple(r.values())
-                else:
-                    parts.append(_unpack(r["base"] & (1 << 64) - 1, r["width"], r["tok"]))
-                    got.append((r["bucket"], r["block"], np.frombuffer(r["own"], dtype=np.uint16)))
+                    continue
+                tokens = _unpack(r["base"] & (1 << 64) - 1, r["width"], r["tok"])
+                parts.append(tokens)
+                asked.append((r["bucket"], r["block"], None if r["own"] is None else np.frombuffer(r["own"], np.uint16)))
+                weights.append(np.ones(len(tokens), np.int64) if r["own"] is not None else np.frombuffer(r["freq"], np.uint32).astype(np.int64))
         if not parts:
             return
-        tokens = np.concatenate(parts)
+        tokens, weights = np.concatenate(parts), np.concatenate(weights)
         ends = np.cumsum([0, *map(len, parts)])
         del parts
         order = np.argsort(tokens, kind="stable")
         ordered = tokens[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        runs = np.diff(np.append(first, len(ordered)))
+        total = np.add.reduceat(weights[order], first)
         frequency = np.empty(len(tokens), dtype=np.int64)
-        frequency[order] = np.repeat(runs, runs)
-        for (bucket, block, owners), a, b in zip(got, ends[:-1], ends[1:], strict=True):
+        frequency[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
+        for (bucket, block, owners), a, b in zip(asked, ends[:-1], ends[1:], strict=True):
             shared = frequency[a:b] > 1
             if shared.any():
                 # Steps of an eighth of a power of two are fine enough to order by.
                 level = np.minimum(255, np.log2(frequency[a:b][shared]) * 8).astype(np.uint8)
-                yield (bucket, block, *_pack(tokens[a:b][shared]), owners[shared].tobytes(), level.tobytes(), None, None)
+                yield (bucket, block, *_pack(tokens[a:b][shared]), None if owners is None else owners[shared].tobytes(), level.tobytes(), None, None)
 
     return _in_batches(rows())
 
@@ -210,6 +227,13 @@ _TEXTS = "kind int, doc_id long, n long, h1 long, h2 long, toks array<long>, pre
 def _assemble(percent: int):
     """Blocks put together again: every text (kind 0), and those that may have a partner (kind 1)."""
 
+    def levelled(held, answers):
+        """(shingles, owners, levels) of what several texts hold, from the block's own list and the answers."""
+        tokens, owners = held
+        known, levels = (np.concatenate(x) for x in zip(*answers, strict=True))
+        order = np.argsort(known)
+        return tokens, owners, levels[order][np.searchsorted(known[order], tokens)]
+
     def one(table, answers):
         ids, meta = table
         meta = np.frombuffer(meta, dtype=np.int64).reshape(-1, 3)
@@ -246,21 +270,36 @@ def _assemble(percent: int):
                 )
 
     def run(batches):
-        tables, answers = {}, {}
+        tables, held, single, several = {}, {}, {}, {}
         for batch in batches:
             for r in batch.to_pylist():
+                block = r["block"]
                 if r["tok"] is None:
-                    tables[r["block"]] = (r["ids"], r["meta"])
+                    tables[block] = (r["ids"], r["meta"])
+                    continue
+                tokens = _unpack(r["base"] & (1 << 64) - 1, r["width"], r["tok"])
+                own, freq = (None if r[c] is None else np.frombuffer(r[c], t) for c, t in (("own", np.uint16), ("freq", np.uint8)))
+                if freq is None:
+                    held[block] = (tokens, own)
+                elif own is None:
+                    several.setdefault(block, []).append((tokens, freq))
                 else:
-                    answers.setdefault(r["block"], []).append((_unpack(r["base"] & (1 << 64) - 1, r["width"], r["tok"]), np.frombuffer(r["own"], np.uint16), np.frombuffer(r["freq"], np.uint8)))
+                    single.setdefault(block, []).append((tokens, own, freq))
         for block in sorted(tables):
-            yield from one(tables.pop(block), answers.pop(block, []))
+            answers = single.pop(block, [])
+            if block in held:
+                answers.append(levelled(held.pop(block), several.pop(block)))
+            yield from one(tables.pop(block), answers)
 
     return run
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark itself holds on to the last execution until another one follows it.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -273,7 +312,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, cluster_size: int = 20_000) -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20, cluster_size: int = 20_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``df``.
 
     ``bucket_bytes``: of text for each bucket of the hash space.
@@ -286,9 +325,9 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     buckets = max(8, -(-total // bucket_bytes))
 
-    sent = docs.mapInArrow(_shingle(n, buckets), _EXCHANGE).repartitionById(buckets, F.col("bucket"))
-    answered = sent.mapInArrow(_count, _EXCHANGE).repartition(buckets, "block")
-    made = answered.mapInArrow(_assemble(percent), _TEXTS)
+    sent = docs.mapInArrow(tidied(_shingle(n, buckets)), _EXCHANGE).repartitionById(buckets, F.col("bucket"))
+    answered = sent.mapInArrow(tidied(_count), _EXCHANGE).repartition(buckets, "block")
+    made = answered.mapInArrow(tidied(_assemble(percent)), _TEXTS)
     path = f"{scratch.root}/texts"
     made.write.partitionBy("kind").parquet(path)
     del sent, answered, made
@@ -434,6 +473,8 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id
     """
     found = near_duplicates(df, n, percent, id_col, text_col)
     stay = found.where("doc_id = component_id or n_shingles = 0").where("doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_again"))
-    joined = df.join(stay, df[id_col].cast("long") == stay["doc_id"]).select(*(df[c] for c in df.columns), "_again")
-    again = joined.where("_again").select(*df.columns).dropDuplicates()
-    return joined.where(~F.col("_again")).select(*df.columns).union(again).union(df.where(df[id_col].isNull()))
+    # The ids grow with the table: they are never broadcast, so that small tables run as large ones do.
+    joined = df.join(stay.hint("merge"), df[id_col].cast("long") == stay["doc_id"])
+    own = [df[c] for c in df.columns]
+    again = joined.where(stay["_again"]).select(*own).dropDuplicates()
+    return joined.where(~stay["_again"]).select(*own).union(again).union(df.where(df[id_col].isNull()))
