@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.cache import only, tidied
+from graphloom.llm.words import encode_texts
 from graphloom.runtime import Scratch, delete_path, scratch_path, ship_package
 
 SCHEMA = "doc_id long, pos long, ids array<int>"
-#: So many characters, and the text that reaches them, are encoded at once.
-BATCH_CHARS = 2_000_000
-_encoders: dict[str, LibraryEncoder] = {}
 
 
 class LibraryEncoder:
-    """Ids by the ``tokenizers`` library, called once for each distinct word between spaces.
+    """Ids by the ``tokenizers`` library, called once for each distinct word of a batch."""
 
-    Where no two white spaces stand side by side, a space always starts a new
-    piece, so the parts between spaces are encoded on their own and remembered;
-    any other text goes to the library as a whole. The memory holds ``memo`` parts
-    and those of one more group of texts at most.
-    """
-
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -60,50 +51,23 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character stands for a byte
-        self.uneven = regex.compile(r"\s\s")
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, parts: list[str]) -> list[bytes]:
-        """As ``_ids`` for parts that begin with their only space: encoded in one go.
-
-        Each part's ids end where the bytes of the tokens so far are as many as
-        those of the parts so far.
-        """
-        ids = np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
-        cuts, packed = [0, *(ends * 4).tolist()], ids.tobytes()
-        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _parts(self, text: str) -> list[str]:
-        if self.uneven.search(text) or any(s in text for s in self.special):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)]
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text; one library call for all parts not yet known."""
-        split = [self._parts(t) if t else [] for t in texts]
-        memo = self.memo
-        if new := list(set().union(*split).difference(memo)):
-            alone = [p for p in new if p[:1] != " " or p[-1:].isspace()]
-            memo.update(zip(alone, self._ids(alone), strict=True))
-            if inner := list(set(new).difference(alone)):
-                memo.update(zip(inner, self._joined(inner), strict=True))
-        out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
-        if len(memo) > self.limit:
-            memo.clear()
-        return out
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words in one go: a word's ids end where the bytes of the tokens so far are as many as those of the words and spaces so far."""
+        ids = self.whole([" " + " ".join(words)])[0]
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def batches(self, texts: pa.Array | list[str | None], end_id: int):
+        return encode_texts(texts, self.special, self.words, self.whole, (end_id,))
 
 
 def encoder(path: str) -> LibraryEncoder:
     """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return only(("library", path), lambda: LibraryEncoder(path))
 
 
 def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, stripe_bytes: int = 64 << 20, rows_per_group: int = 1000) -> None:
@@ -111,28 +75,19 @@ def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str =
     spark = df.sparkSession
     ship_package(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = pack("<I", end_id)
 
     def run(batches):
-        ids_of = encoder(tokenizer_path).packed
         for batch in batches:
-            at, group, held = 0, [], 0
-            texts = batch.column("text")
-            for i in range(batch.num_rows):
-                group.append(texts[i].as_py() or "")
-                held += len(group[-1])
-                if held >= BATCH_CHARS or i + 1 == batch.num_rows:
-                    got = ids_of(group)
-                    ends = np.cumsum([0, *(len(g) // 4 + 1 for g in got)], dtype=np.int32)
-                    values = pa.array(np.frombuffer(end.join([*got, b""]), dtype="<i4"))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(got)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
-                    at, group, held = i + 1, [], 0
+            at = 0
+            for n, ends, ids in encoder(tokenizer_path).batches(batch.column("text"), end_id):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
+                at += n
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    made = dealt.mapInArrow(run, "doc_id long, ids array<int>").select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true", "orc.row.index.stride": str(rows_per_group), "compression": "zstd"}
+    made = dealt.mapInArrow(tidied(run), "doc_id long, ids array<int>").select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids")
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true", "orc.row.index.stride": str(rows_per_group), "compression": "lz4"}
     made.write.mode("overwrite").format("orc").options(**options).save(path)
 
 

@@ -50,13 +50,22 @@ def test_byte_pairs(text):
     want = ids_of(text)
     assert codec(BYTES).encode(text) == want
     assert codec(BYTES).decode(want) == TK.decode(want, skip_special_tokens=False) == text
-    assert codec(BYTES).round_trip(text) == (packed(want), text)
+    for n, ends, ids in codec(BYTES).batches([text, text + " ", None]):
+        assert n == 3 and ids[: ends[1]].tolist() == want and ids[ends[1] : ends[2]].tolist() == ids_of(text + " ")
+        assert codec(BYTES).decoded(ends, ids) == [text, text + " ", ""]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(texts, max_size=5))
-def test_library_encoder(group):
-    assert encoder(BYTES).packed(group) == [packed(ids_of(t)) for t in group]
+@given(st.lists(st.one_of(texts, st.none()), min_size=1, max_size=6), st.sampled_from([1, 7, 10**6]))
+def test_library_encoder(group, most):
+    from graphloom.llm import words
+
+    before, words.PART_IDS = words.PART_IDS, most
+    try:
+        got = [ids[a:b].tolist() for _, ends, ids in encoder(BYTES).batches(group, 9) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    finally:
+        words.PART_IDS = before
+    assert got == [[*ids_of(t), 9] for t in group]
 
 
 def test_memo_is_bounded():
