@@ -1,9 +1,12 @@
 """Secret scan: a wide pattern for candidates, a random forest against false ones.
 
-DataFrame expressions only. A candidate is a run of 16 or more token characters
-with a digit in it, or the header of a private key. Features of a candidate and
-the text around it (length, character transitions, dictionary coverage, path,
-neighbouring words) go to a forest trained here from labelled findings; a
+DataFrame expressions only. A candidate is a private key from its header to its
+footer (without one, the header and the key lines after it), any value that is
+assigned to a secret-like name (in quotes: all between them), or a run of 16 or
+more token characters; a name before ``=`` is no part of the value. Features of
+a candidate and the text around it (length, character transitions, dictionary
+coverage, path, neighbouring words) go to a forest trained here from labelled
+findings, which the scanner's own split of labelled texts gives; a
 finding is a secret if at least ``threshold`` of the trees say so. The forest
 is turned into one expression over the array of a row's candidates, so nothing
 is exploded or shuffled and a row may hold any number of candidates.
@@ -29,9 +32,34 @@ from pyspark.sql import functions as F
 from graphloom.llm.quality import let
 from graphloom.llm.rows import ROW, boxed
 
-# What a candidate looks like.
-CHARS = r"[A-Za-z0-9+/_=\-]"
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<!{CHARS})(?=[A-Za-z+/_=\-]*[0-9]){CHARS}{{16,}}"
+# What a candidate looks like. One pattern for Java's and Python's
+# expressions: what stands before a value is checked by looks behind of one width each.
+CHARS = r"[A-Za-z0-9+/_\-]"
+SECRET_NAMES = "token secret passwd password passphrase pwd auth apikey api_key api-key accesskey access_key access-key bearer credential credentials privatekey private_key private-key signing signing_key clientkey client_key client-key webhook".split()
+
+
+def _candidate() -> str:
+    kind = r"[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    # Up to the footer (dashes of header fields apart), or whole lines of key characters.
+    pem = rf"-----BEGIN {kind}(?:[^\-]*+(?:-{{1,4}}[^\-]++){{0,32}}+-----END {kind}|[A-Za-z0-9+/=\\\r\n]*(?![^\r\n])|)"
+    blank, quote = r" \t\r\n\f\x0b", "\"'`"
+    # An assignment ends here, and a secret-like name stands at most 20 characters before.
+    ends = "|".join(f"(?<=[=:>]{w})" for w in ("", r"[ \t]", r"[ \t]{2}", f"[{quote}]", f"[ \\t][{quote}]", f"[ \\t]{{2}}[{quote}]"))
+    by_size = {n: "|".join(x for x in SECRET_NAMES if len(x) == n) for n in sorted({len(x) for x in SECRET_NAMES})}
+    named = "|".join(rf"(?<=(?i:{names})[A-Za-z0-9_.\-{quote}\])=:> \t]{{{gap}}})" for names in by_size.values() for gap in range(1, 21))
+    quoted = "|".join(rf"(?<={q})(?=[ \t]*[^{blank}{q}])[^{q}\\\r\n]*+(?:\\[^\r\n][^{q}\\\r\n]*+){{0,64}}+(?={q})" for q in quote)
+    # A bare value ends at a blank, a quote, a tag or the next parameter; closing punctuation is no part of it.
+    more = r"&(?![A-Za-z_][A-Za-z0-9_.\-]{0,40}=)"
+    bare = rf"(?:[^{blank}{quote},;&=:>]|{more})[^{blank}{quote}&<]*(?:{more}[^{blank}{quote}&<]*){{0,32}}(?<![.,;:!?)\]}}>&])"
+    value = rf"(?<=[=:> \t{quote}])(?:{ends})(?:{named})(?!(?i:bearer|basic)[ \t])(?:{quoted}|{bare})"
+    bearer = rf"(?<=(?i:bearer) )(?={CHARS}*[0-9]){CHARS}{{6,}}+"
+    run = rf"(?<!{CHARS})(?=[+/_\-]*[A-Za-z0-9]){CHARS}{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_\-={quote}]))?"
+    return f"{pem}|{value}|{bearer}|{run}"
+
+
+CANDIDATE = _candidate()
+#: Characters of the text beside a candidate that its features see, from the candidate before to the one after.
+BESIDE = 48
 MASK = "[SECRET]"
 # Prefixes of issued keys.
 ISSUED = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|eyJ|sk-|sk_live_|rk_live_|SG\.|-----BEGIN)"
@@ -46,8 +74,8 @@ DICTIONARY = (
 )
 BEFORE_SECRET = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|auth|bearer|credential|private.?key|signing|client.?key|webhook)[^\n]{0,16}$"
 BEFORE_OTHER = r"(?i)(?:commit|revision|sha-?\d*|md5|checksum|digest|integrity|uuid|guid|isbn|issn|order|invoice|phone|tel|fax|card|iban|account|tracking|serial|version|build|etag|blob|tree|href|src|url)[^\n]{0,12}$"
-PLACEHOLDER = r"(?i)x{4,}|0{6,}|1234|abcd|example|sample|dummy|changeme|your|test|placeholder|redacted"
-FEATURES = ("length", "digits", "upper", "class_turns", "letter_digit_turns", "vowel_turns", "distinct", "dictionary", "hex", "only_digits", "issued", "secret_word", "other_word", "assigned", "quoted", "path", "placeholder", "dashes")
+PLACEHOLDER = r"(?i)x{4,}|0{6,}|\*{3,}|1234|abcd|example|sample|dummy|change_?me|your|test|placeholder|redacted|[<>{}$()\[\]]|^(?:null|none|nil|true|false|undefined|required|optional|string)$"
+FEATURES = ("length", "digits", "upper", "class_turns", "letter_digit_turns", "vowel_turns", "distinct", "dictionary", "hex", "only_digits", "issued", "secret_word", "other_word", "assigned", "quoted", "path", "placeholder", "dashes", "symbols")
 
 
 def features(before: Column, candidate: Column, after: Column) -> list[Column]:
@@ -74,65 +102,116 @@ def features(before: Column, candidate: Column, after: Column) -> list[Column]:
         flag(before.rlike(r"[=:][ \t]{0,2}[\"'`]?$")),
         flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         flag(c.contains("/") | before.rlike(r"[/\\.]$") | after.rlike(r"^\.[a-z]{2,4}\b|^[/\\]")),
-        flag(c.rlike(PLACEHOLDER)),
+        share(PLACEHOLDER),
         share("[-_]"),
+        share("[^A-Za-z0-9+/_=-]"),
     ]
     return [x.cast("double") for x in out]
 
 
-def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (before, candidate, after, label) made from templates.
+def split_text(text: str) -> list[tuple[int, str, str, str]]:
+    """(start, before, candidate, after) of a text, as ``scan_secrets`` splits it, on the driver."""
+    found = [(m.start(), m.end()) for m in re.finditer(CANDIDATE, text)]
+    edges = [0, *(a for a, _ in found)], [*(a for a, _ in found[1:]), len(text)]
+    return [(a, text[max(a - BESIDE, start) : a], text[a:b], text[b : min(b + BESIDE, end)]) for (a, b), start, end in zip(found, *edges, strict=False)]
+
+
+def sample_texts(n: int = 3000, seed: int = 11) -> list[tuple[str, int, str]]:
+    """Labelled texts (text, start, secret) made from templates; start is -1 without a secret.
 
-    Keys as they are issued and assigned in code and prose, against commit ids,
-    checksums, uuids, numbers, paths, identifiers and placeholders.
+    Keys, passwords and key blocks as they are issued and assigned in code and
+    prose, against commit ids, checksums, uuids, numbers, paths, identifiers,
+    placeholders and words that follow a secret-like name.
     """
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     low, hexa, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "0123456789"
-    mixed = low + low.upper() + digits
+    letters, mixed = low + low.upper(), low + low.upper() + digits
     syllables = "an er in on th re he ti en st ou ha ar de la es qu io un ge ein sch ver men".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 6)))
     names = DICTIONARY.split()
     ident = lambda sep: sep.join(r.choice(names) for _ in range(r.randint(2, 4)))
-    secret_names = ["token", "secret", "password", "api_key", "apiKey", "auth_token", "access_key", "client_secret", "TOKEN", "SECRET_KEY", "passwd", "bearer", "credential"]
+    secret_names = ["token", "secret", "password", "api_key", "apiKey", "auth_token", "access_key", "client_secret", "TOKEN", "SECRET_KEY", "passwd", "credential", "AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "https://host/x?token", "https://host.org/a?id=3&api_key"]
     uuid = lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
-    positive = [
-        lambda: pick(hexa, r.choice([32, 40, 48, 64])),
-        lambda: pick(mixed, r.randint(20, 64)) + r.choice(digits),
-        lambda: "AKIA" + pick(low.upper() + "234567", 15) + r.choice("234567"),
-        lambda: "ghp_" + pick(mixed, 35) + r.choice(digits),
+    lines = lambda: "\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(2, 25)))
+    issued = [
+        lambda: "AKIA" + pick(low.upper() + "234567", 16),
+        lambda: "ghp_" + pick(mixed, 36),
         lambda: "AIza" + pick(mixed + "_-", 34) + r.choice(digits),
-        lambda: "sk_live_" + pick(mixed, 23) + r.choice(digits),
+        lambda: "sk_live_" + pick(mixed, 24),
         lambda: "xoxb-" + pick(digits, 11) + "-" + pick(mixed, 24),
-        lambda: "eyJ" + pick(mixed, 33) + r.choice(digits),
-        lambda: pick(mixed + "+/", 43) + r.choice(digits) + "=",
+        lambda: "eyJ" + pick(mixed, 34),
     ]
+    positive = [
+        *issued,
+        lambda: pick(hexa, r.choice([32, 40, 48, 64])),
+        lambda: pick(mixed, r.randint(20, 65)),
+        lambda: pick(letters, r.randint(16, 40)),
+        lambda: pick(mixed + "+/", 44) + "=",
+        lambda: pick(letters, r.randint(8, 20)) + r.choice(["abcd", "1234", "test", "0000000"]) + pick(letters, r.randint(8, 20)),
+        lambda: low[r.randint(0, 8) :] + low.upper()[: r.randint(3, 12)],
+    ]
+    password = [
+        lambda: pick(mixed + "&!#%@^*", r.randint(7, 15)) + r.choice(digits),
+        lambda: word().capitalize() + r.choice(digits) + word() + r.choice("&!#%@") + r.choice(digits),
+        lambda: word() + pick(digits, r.randint(1, 3)),
+    ]
+    phrase = lambda: r.choice("- _.").join(r.choice([word(), r.choice(names)]) for _ in range(r.randint(3, 6)))
+    pem = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n" + r.choice(["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n"]) + lines() + f"\n-----END {kind}PRIVATE KEY-----"
+    said = ["required", "optional", "null", "None", "true", "string", "missing", "invalid", "the", "see", "expired", "hidden", "not", "it", "you", "this", "never", "${TOKEN}", "$PASSWORD", "<password>", "os.environ", "********", "{{secret}}", "getenv(KEY)"]
     negative = [
         (lambda: r.choice(["commit ", "sha256: ", "md5 ", "checksum: ", "revision ", "integrity ", "digest = \"", "etag: "]), lambda: pick(hexa, r.choice([32, 40, 64]))),
         (lambda: r.choice(["id ", "uuid: ", "guid=", "", "request "]), uuid),
         (lambda: r.choice(["order ", "card ", "phone ", "serial ", "account ", "", "isbn ", "tracking "]), lambda: pick(digits, r.randint(16, 24))),
-        (lambda: r.choice(["", "see ", "in ", "/", "src=\"/", "href=\"", "//"]), lambda: ident("/") + "/" + ident("_") + str(r.randint(0, 99))),
-        (lambda: r.choice(["", "call ", "the ", "def ", "class ", "id=\""]), lambda: ident("_") + "_" + str(r.randint(0, 2030))),
-        (lambda: r.choice(["", "on ", "file "]), lambda: ident("-") + "-" + pick(digits, 4)),
-        (lambda: r.choice(["token = \"", "password: ", "api_key='", "secret="]), lambda: r.choice(["your_token_here_", "example-secret-", "xxxxxxxxxxxxxxx", "placeholder_", "changeme_test_", "000000000000000"]) + str(r.randint(10, 9999))),
-        (lambda: r.choice(["", "is ", "and "]), lambda: "".join(word() for _ in range(5)) + str(r.randint(1, 999)) + word()),
+        (lambda: r.choice(["", "see ", "in ", "/", "src=\"/", "href=\"", "//"]), lambda: ident("/") + "/" + ident("_") + r.choice(["", str(r.randint(0, 99))])),
+        (lambda: r.choice(["", "call ", "the ", "def ", "class ", "id=\""]), lambda: ident("_") + r.choice(["", "_" + str(r.randint(0, 2030))])),
+        (lambda: r.choice(["", "on ", "file "]), lambda: ident("-") + r.choice(["", "-" + pick(digits, 4)])),
+        (lambda: r.choice(["token = \"", "password: ", "api_key='", "secret="]), lambda: r.choice(["your_token_here_", "example-secret-", "xxxxxxxxxxxxxxx", "placeholder_", "changeme_test_", "000000000000000", "changeme"]) + r.choice(["", str(r.randint(10, 9999))])),
+        (lambda: r.choice(["", "is ", "and "]), lambda: "".join(word() for _ in range(5)) + r.choice(["", str(r.randint(1, 999)) + word()])),
+        (lambda: r.choice(["", ". ", "is "]), lambda: r.choice([str.capitalize, str.upper, str.lower])(("".join(word() for _ in range(6)) + "schaftlichkeit")[: r.randint(16, 24)])),
         (lambda: "", lambda: "=" * r.randint(8, 20) + str(r.randint(1, 999)) + "-" * r.randint(8, 20)),
+        (lambda: r.choice(secret_names[:12]) + r.choice([": ", " = ", "="]), lambda: r.choice([r.choice(said), word()])),
+        (lambda: r.choice(["password", "token", "secret"]) + r.choice([": \"", " = \""]), lambda: r.choice(said)),
     ]
-    rows = []
+    out = []
     for k in range(n):
-        if k % 2:
-            make = r.choice(positive)
-            quote = r.choice(["\"", "'", "", "\""])
-            named = r.random() < 0.8
-            lead = r.choice(secret_names) + r.choice([" = ", "=", ": ", ":", " "]) + quote if named else r.choice(["", "key ", "value: "])
-            value = make() if named else positive[r.randint(2, 7)]()
-            rows.append((f"{prose()} {lead}", value, f"{quote if named else ''} {prose()}", 1))
-        else:
+        start, end = prose() + " ", " " + prose()
+        kind = r.random()
+        if k % 2 == 0:
             lead, make = r.choice(negative)
             at = lead()
-            rows.append((f"{prose()} {at}", make(), ("\" " if at.endswith("\"") else "' " if at.endswith("'") else " ") + prose(), 0))
-    return [x for x in rows if re.fullmatch(CANDIDATE, x[1])]
+            out.append((start + at + make() + ("\"" if at.endswith("\"") else "'" if at.endswith("'") else "") + end, -1, ""))
+            continue
+        if kind < 0.08:
+            lead, secret, close = r.choice(["", "key = \"", "key:\n"]), pem(r.choice(["", "RSA ", "EC ", "OPENSSH "])), ""
+        elif kind < 0.22:
+            lead, secret, close = r.choice(["", "key ", "value: ", "Authorization: Bearer "]), r.choice(issued)(), ""
+        elif kind < 0.45:
+            quote = r.choice(["\"", "'"])
+            lead, secret, close = r.choice(secret_names[:14]) + r.choice([" = ", "=", ": ", ":"]) + quote, r.choice([*password, phrase])(), quote
+        elif kind < 0.55:
+            lead, secret, close = r.choice(secret_names[:14]) + r.choice([" = ", "=", ": "]), r.choice(password)(), ""
+        else:
+            quote = r.choice(["\"", "'", "", "\""])
+            lead, secret, close = r.choice(secret_names) + r.choice([" = ", "=", ": ", ":"] if quote else ["=", "=", ": "]) + quote, r.choice(positive)(), quote
+        out.append((start + lead + secret + close + end, len(start + lead), secret))
+    return out
+
+
+def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]]:
+    """Labelled findings (before, candidate, after, label): all candidates of ``sample_texts``.
+
+    A candidate that is not the whole secret is none, and a secret that is no
+    candidate is an error.
+    """
+    rows = []
+    for text, start, secret in sample_texts(n, seed):
+        found = split_text(text)
+        if start >= 0 and not any((at, c) == (start, secret) for at, _, c, _ in found):
+            raise ValueError(f"not a candidate: {secret!r} in {text!r}")
+        rows += [(before, c, after, int((at, c) == (start, secret))) for at, before, c, after in found]
+    return rows
 
 
 class Forest:
@@ -212,14 +291,15 @@ def scan_secrets(df: DataFrame, forest: Forest, text_col: str = "text", threshol
     start counts characters from 0.
     """
     text = F.col(text_col)
-    beside = 48
 
     def judged(parts: Column, found: Column) -> Column:
         lengths = F.transform(found, lambda c, i: F.length(c) + F.length(F.get(parts, i)))
         start = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.length(F.get(parts, i)), lambda n, x: n + x)
 
         def one(c: Column, i: Column) -> Column:
-            before, after = F.right(F.get(parts, i), F.lit(beside)), F.left(F.get(parts, i + 1), F.lit(beside))
+            # A long name is a candidate of its own, and stands before the value all the same.
+            last = F.coalesce(F.get(found, i - 1), F.lit(""))
+            before, after = F.right(F.concat(last, F.get(parts, i)), F.lit(BESIDE)), F.left(F.get(parts, i + 1), F.lit(BESIDE))
             score = let(F.array(*features(before, c, after)), forest.column)
             return let(score, lambda s: F.struct(start(i).alias("start"), c.alias("candidate"), s.alias("score"), (s >= threshold).alias("secret")))
 
