@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import sys
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.values import label_list, label_text
@@ -70,57 +72,103 @@ def label_propagation(
     Opposite and parallel edges count once each; isolated vertices keep their
     label; ties go to the smallest label or, with ``random_tiebreak``, to one
     drawn by ``seed``. A synchronous step reads the labels of the step before.
-    An asynchronous one visits vertices in random order and sees labels already
-    changed: one by one on the driver for graphs of at most
-    ``sequential_edges`` edges, and above that in ``batches`` random parts, each
-    seeing the parts before (an approximation: it may stop with more labels than
-    the sequential order would). Stops when no label changes.
+    An asynchronous one sees labels already changed. It visits the classes of a
+    greedy colouring (vertices ordered by a hash of ``seed`` and id), in another
+    random order each step; no two vertices of a class are neighbours, so a class
+    that moves at once is the same as its vertices one by one. Graphs of at most
+    ``sequential_edges`` edges do it on the driver, with the same result.
+    ``batches`` has no effect any more: the classes take its place. Stops when no
+    label changes.
     """
     start = _start(graph, start_label, label_text)
     scratch = Scratch(graph.vertices.sparkSession, "labels")
-    if not synchronous and graph.edge_count <= sequential_edges:
-        return _sequential(graph, start, supersteps, random_tiebreak, seed, scratch, cancelled)
     bag = scratch.table(_bag(graph), "bag")
+    if not synchronous:
+        run = _one_by_one if graph.edge_count <= sequential_edges else _by_colour
+        return run(graph, bag, start, supersteps, random_tiebreak, seed, scratch, cancelled)
     tie_of = (lambda step: F.xxhash64("id", "label", F.lit(step), F.lit(seed))) if random_tiebreak else (lambda step: F.lit(0))
     state = scratch.table(start.withColumn("moved", F.lit(False)), "labels")
-    if synchronous:
-        count = iter(range(supersteps))
-        final, steps = iterate(scratch, state, lambda s, _: _vote(bag, s.drop("moved"), tie_of(next(count))), {"moved": F.count_if("moved")}, lambda m: m["moved"] == 0, supersteps, None, cancelled)
-        return Labels(final.select("id", "label"), steps, scratch)
-    steps = 0
+    count = iter(range(supersteps))
+    final, steps = iterate(scratch, state, lambda s, _: _vote(bag, s.drop("moved"), tie_of(next(count))), {"moved": F.count_if("moved")}, lambda m: m["moved"] == 0, supersteps, None, cancelled)
+    return Labels(final.select("id", "label"), steps, scratch)
+
+
+def _priority(seed: int, column: str):
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(column).cast("string")))
+
+
+def _class_order(classes: int, step: int, seed: int) -> list[int]:
+    order = list(range(classes))
+    random.Random(f"{seed}/{step}").shuffle(order)
+    return order
+
+
+def _colours(bag: DataFrame, seed: int, scratch: Scratch, cancelled) -> DataFrame:
+    """(id, colour): each vertex's smallest colour that no neighbour of smaller priority has."""
+    waits = scratch.table(bag.where("id <> nbr").where(_priority(seed, "nbr") < _priority(seed, "id")).select("id", "nbr"), "waits")
+    start = scratch.table(bag.select("id").distinct().withColumn("colour", F.lit(None).cast("int")), "colours")
+
+    def step(state: DataFrame, _: dict) -> DataFrame:
+        open_ids = state.where("colour is null").select("id")
+        before = waits.join(open_ids, "id").join(state.select(F.col("id").alias("nbr"), F.col("colour").alias("theirs")), "nbr")
+        seen = before.groupBy("id").agg(F.bool_or(F.col("theirs").isNull()).alias("early"), F.collect_set("theirs").alias("used"))
+        used = F.coalesce("used", F.array().cast("array<int>"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
+        return state.join(seen, "id", "left").select("id", F.coalesce("colour", F.when(~F.coalesce("early", F.lit(False)), free)).alias("colour"))
+
+    return iterate(scratch, start, step, {"left": F.count_if(F.col("colour").isNull())}, lambda m: m["left"] == 0, sys.maxsize, None, cancelled)[0]
+
+
+def _by_colour(graph: PropertyGraph, bag: DataFrame, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, scratch: Scratch, cancelled) -> Labels:
+    colours = _colours(bag, seed, scratch, cancelled)
+    classes = (colours.agg(F.max("colour")).first()[0] if graph.edge_count else -1) + 1
+    parts = scratch.table(bag.join(colours, "id"), "parts")
+    state, steps = scratch.table(start, "labels"), 0
     while steps < supersteps:
         moved = 0
-        for k in range(batches):
-            part = F.pmod(F.xxhash64("id", F.lit(steps), F.lit(seed)), F.lit(batches)) == k
-            state, _ = iterate(scratch, state, lambda s, _, part=part: _vote(bag, s.drop("moved"), tie_of(steps), part), {"moved": F.count_if("moved")}, lambda m: True, 1, None, cancelled)
-            moved += state.where("moved").count()
+        for k in _class_order(classes, steps, seed):
+            if cancelled and cancelled():
+                raise Cancelled(f"cancelled after {steps} supersteps")
+            tie = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(str(steps)), F.col("id").cast("string"), "label")) if random_tiebreak else F.lit(0)
+            watch, old = Observation(), state
+            state = scratch.table(_vote(parts, old.select("id", "label"), tie, F.col("colour") == k).observe(watch, F.count_if("moved").alias("moved")), "step")
+            moved += watch.get["moved"]
+            scratch.drop(old)
         steps += 1
         if moved == 0:
             break
     return Labels(state.select("id", "label"), steps, scratch)
 
 
-def _sequential(graph: PropertyGraph, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, scratch: Scratch, cancelled) -> Labels:
-    rng = random.Random(seed)
-    edges = [(r.src, r.dst) for r in graph.edges.select("src", "dst").orderBy("src", "dst").toLocalIterator()]
-    ends = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst")).distinct()
-    labels = {r.id: r.label for r in start.join(ends, "id").orderBy("id").toLocalIterator()}
-    near: dict = {v: [] for v in labels}
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    order, steps = list(labels), 0
+def _one_by_one(graph: PropertyGraph, bag: DataFrame, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, scratch: Scratch, cancelled) -> Labels:
+    """``_by_colour`` on the driver."""
+    near: dict = {}
+    for r in bag.toLocalIterator():
+        near.setdefault(r.id, []).append((r.nbr, r.times))
+    ends = start.join(bag.select("id").distinct(), "id").select("id", "label", F.col("id").cast("string").alias("text"), _priority(seed, "id").alias("priority"))
+    rows = sorted(ends.toLocalIterator(), key=lambda r: r.priority)
+    labels, text, colour = {r.id: r.label for r in rows}, {r.id: r.text for r in rows}, {}
+    members: list[list] = []
+    for v in labels:
+        used = {colour[u] for u, _ in near[v] if u in colour}
+        colour[v] = next(k for k in range(len(used) + 1) if k not in used)
+        if colour[v] == len(members):
+            members.append([])
+        members[colour[v]].append(v)
+    steps = 0
     while steps < supersteps:
         if cancelled and cancelled():
             raise Cancelled(f"cancelled after {steps} supersteps")
-        rng.shuffle(order)
         changed = False
-        for v in order:
-            if near[v]:
-                votes = Counter(labels[u] for u in near[v])
+        for k in _class_order(len(members), steps, seed):
+            for v in members[k]:
+                votes: Counter = Counter()
+                for u, times in near[v]:
+                    votes[labels[u]] += times
                 top = max(votes.values())
-                best = sorted(k for k, n in votes.items() if n == top)
-                new = rng.choice(best) if random_tiebreak else best[0]
+                best = [x for x, n in votes.items() if n == top]
+                tie = (lambda x, v=v: hashlib.md5(f"{seed}/{steps}/{text[v]}/{x}".encode()).hexdigest()) if random_tiebreak else (lambda x: "")
+                new = min(best, key=lambda x: (tie(x), x))
                 changed |= new != labels[v]
                 labels[v] = new
         steps += 1
