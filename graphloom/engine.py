@@ -287,7 +287,7 @@ class Engine:
             raise GraphError("a start label attribute is needed")
 
         def call(g, job):
-            r = _propagate.attribute_propagation(g, start_label_attribute, maximum_supersteps or _propagate.DEFAULT_SUPERSTEPS, backwards, synchronous, job.stop.is_set)
+            r = _propagate.attribute_propagation(g, start_label_attribute, maximum_supersteps or None, backwards, synchronous, job.stop.is_set)
             return r, r.labels, r.steps
 
         return self._compute("Attribute Propagation", 100, graph_id, call)

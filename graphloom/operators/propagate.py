@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import warnings
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,17 +19,24 @@ from graphloom.plans.superstep import Cancelled, iterate
 from graphloom.runtime import Scratch
 
 DEFAULT_SUPERSTEPS = 64
+#: Attribute propagation writes what it knows as one table after so many steps.
+COMPACT_STEPS = 16
 #: The start label that stands for the vertex id.
 ID_LABEL = "@id"
 
 
 @dataclass(frozen=True)
 class Labels:
-    """``labels`` is (id, label) or, of attribute propagation, (id, labels)."""
+    """``labels`` is (id, label) or, of attribute propagation, (id, labels).
+
+    ``settled`` is false if attribute propagation stopped at its limit of steps
+    with labels still on their way.
+    """
 
     labels: DataFrame
     steps: int
     scratch: Scratch
+    settled: bool = True
 
 
 def _start(graph: PropertyGraph, attribute: str, make: Callable) -> DataFrame:
@@ -180,21 +188,26 @@ def _one_by_one(graph: PropertyGraph, bag: DataFrame, start: DataFrame, superste
     return Labels(scratch.table(start.join(made, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels"), steps, scratch)
 
 
-def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: int = DEFAULT_SUPERSTEPS, backwards: bool = False, synchronous: bool = True, cancelled=None) -> Labels:
+def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: int | None = None, backwards: bool = False, synchronous: bool = True, cancelled=None) -> Labels:
     """The set of labels that reach each vertex along edges (or against them).
 
     Null, empty strings and empty lists are no labels; a list gives several.
     Rows are (vertex, label) pairs until the end, and a step sends only pairs
-    that the step before added. Stops when nothing is added. The asynchronous
-    form has the same fixpoint and is computed the same way, without a limit
-    on the steps that would show the difference.
+    that the step before added. Stops when nothing is added, or at a limit of
+    ``supersteps``: if none is given, 64 for the synchronous form and none for
+    the asynchronous one, which has the same fixpoint and may reach it in fewer
+    steps of its own. With a limit both make that many of these steps.
+    ``settled`` of the result, and a warning, say if the limit was hit.
     """
+    if supersteps is None:
+        supersteps = DEFAULT_SUPERSTEPS if synchronous else sys.maxsize
     start = _start(graph, start_label, label_list)
     scratch = Scratch(graph.vertices.sparkSession, "attributes")
     src, dst = ("dst", "src") if backwards else ("src", "dst")
     edges = scratch.table(graph.edges.where("src <> dst").select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges")
     known = scratch.table(start.select("id", F.explode("label").alias("label")), "known")
-    new, steps = known, 0
+    new, steps, settled = known, 0, False
+    pieces = [known]
     while steps < supersteps:
         if cancelled and cancelled():
             raise Cancelled(f"cancelled after {steps} supersteps")
@@ -202,8 +215,22 @@ def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: in
         new = scratch.table(sent.join(known, ["id", "label"], "left_anti"), "new")
         steps += 1
         if new.isEmpty():
+            settled = True
             break
         known = known.union(new)
+        pieces.append(new)
+        if len(pieces) > COMPACT_STEPS:
+            # The plan would grow with each step of a deep graph; the last piece is still sent.
+            known = scratch.table(known, "known")
+            for old in pieces[:-1]:
+                scratch.drop(old)
+            pieces = [known]
+    if not settled:
+        # What is left to send may add nothing.
+        sent = edges.join(new.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label")
+        settled = sent.join(known, ["id", "label"], "left_anti").isEmpty()
+        if not settled:
+            warnings.warn(f"attribute propagation stopped at its limit of {supersteps} supersteps before it settled", stacklevel=2)
     sets = known.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     out = graph.vertices.select("id").join(sets, "id", "left").select("id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
-    return Labels(out, steps, scratch)
+    return Labels(out, steps, scratch, settled)

@@ -169,11 +169,11 @@ def q_label_async_batched(spark, d):
 
 
 def q_attribute_forward(spark, d):
-    return _flat_labels(attribute_propagation(users(spark, d), "seed").labels)
+    return _flat_labels(attribute_propagation(users(spark, d), "seed", synchronous=False).labels)
 
 
 def q_attribute_backward(spark, d):
-    return _flat_labels(attribute_propagation(users(spark, d), "seed", backwards=True).labels)
+    return _flat_labels(attribute_propagation(users(spark, d), "seed", backwards=True, synchronous=False).labels)
 
 
 def q_attribute_id(spark, d):
