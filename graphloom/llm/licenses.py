@@ -19,6 +19,9 @@ gives no findings. Copyright lines alone are no licence.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,65 @@ KNOWN = [
 ]
 
 
+#: Lines before the text proper: with all of them, without the title, without any.
+_HEADS = {
+    "Apache-2.0": r"(?s)\A.*?(?=TERMS AND CONDITIONS FOR USE)",
+    "CC0-1.0": r"(?s)\A.*?(?=Statement of Purpose)",
+    "MPL-1.1": r"(?s)\A.*?(?=1\. Definitions)",
+    "MPL-2.0": r"(?s)\A.*?(?=1\. Definitions)",
+}
+_BSD_TITLES = ["", "BSD License", "BSD {}-Clause License", "The BSD {}-Clause License", "The {}-Clause BSD License", "The BSD License", 'BSD {}-Clause "{}" License']
+_ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA", "<https://fsf.org/>", ""]
+
+
+def _bsd(text: str) -> list[tuple[str, str, str]]:
+    three = text.split("All rights reserved.", 1)[1]
+    holders = three.replace("name of the University", "name of the copyright holder").replace("THE REGENTS", "THE COPYRIGHT HOLDERS")
+    bodies = [three, holders, holders.replace("SHALL THE COPYRIGHT HOLDERS", "SHALL THE COPYRIGHT HOLDER")]
+    bodies.append(bodies[2].replace("Neither the name of the copyright holder nor the names of its\n   contributors", "Neither the name of the copyright holder nor the names of its contributors"))
+    out = []
+    for body in dict.fromkeys(bodies):
+        two = re.sub(r"(?s)3\. Neither.*?permission\.\n", "", body)
+        for license, size, alias, form in (("BSD-3-Clause", "3", "New", body), ("BSD-2-Clause", "2", "Simplified", two)):
+            for marks in (form, re.sub(r"(?m)^[123]\. ", "* ", form)):
+                for title in _BSD_TITLES:
+                    for reserved in ("", "All rights reserved.\n"):
+                        out.append((license, "text", "\n".join([title.replace("{}", size, 1).replace("{}", alias), reserved, marks])))
+    return out
+
+
+def _whole_texts() -> list[tuple[str, str, str]]:
+    """Licences given as files, in the forms in which they usually stand: with or without heading, appendix and address."""
+    out = []
+    for file in sorted((resources.files("graphloom.llm") / "license_texts").iterdir(), key=lambda x: x.name):
+        license, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        if license == "BSD-3-Clause":
+            out += _bsd(text)
+            continue
+        forms = [text]
+        if license == "Apache-2.0":
+            forms.append(re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text))
+        if "END OF TERMS AND CONDITIONS" in text:
+            body = text.split("END OF TERMS AND CONDITIONS", 1)[0]
+            forms += [body, body + "END OF TERMS AND CONDITIONS"]
+        if license == "MPL-2.0":
+            forms.append(re.split(r"(?m)^Exhibit A", text)[0])
+        if license.startswith(("GPL", "LGPL")):
+            address = r"51 Franklin St(?:reet)?, Fifth Floor, Boston, MA\s+02110-1301,?\s+USA"
+            forms += [re.sub(address, to, x, count=n) for x in forms for to in _ADDRESSES for n in (0, 1)]
+            forms += [re.sub(r"(?s)\A.*?(?=Everyone is permitted)", "", x) for x in forms]
+        if license == "CC0-1.0":
+            forms.append(text.replace("Creative Commons Legal Code", "", 1))
+            forms.append("CC0 1.0 Universal\n\n" + re.sub(_HEADS[license], "", text))
+        if license in _HEADS:
+            forms += [re.sub(_HEADS[license], "", x) for x in forms]
+        out += [(license, "text", x) for x in dict.fromkeys(forms)]
+    return out
+
+
+KNOWN += _whole_texts()
+
+
 def canonical(text: Column) -> Column:
     """Lower-cased, without copyright lines, one spelling, words apart by single spaces."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")

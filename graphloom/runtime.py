@@ -80,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
         with zipfile.ZipFile(path, "w") as z:
             for folder, _, names in os.walk(here):
                 for n in names:
-                    if n.endswith(".py"):
+                    if n.endswith((".py", ".txt")):
                         full = os.path.join(folder, n)
                         z.write(full, os.path.relpath(full, os.path.dirname(here)))
         sc.addPyFile(path)

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from graphloom.llm import licenses, queries
@@ -33,3 +35,31 @@ def test_clashing_columns_and_empty(spark):
 
 def test_query(spark, sf_dir, duck):
     same_rows(queries.op10_license_scan(spark, sf_dir), duck, queries.OP10_SQL)
+
+
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_texts(spark):
+    import duckdb
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    texts = {x.stem: x.read_text() for x in folder.iterdir()}
+    rows = [(name, text) for name, text in texts.items()]
+    rows += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2021, Jane Doe\nAll rights reserved.\n\n" + BSD_2)]
+    rows += [("BSD-2-Clause", "Copyright 2021 Jane Doe\n\n" + BSD_2.replace("HOLDER OR", "OWNER OR"))]
+    rows += [("Apache-2.0", texts["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Jane Doe"))]
+    rows += [("GPL-2.0", texts["GPL-2.0"].split("END OF TERMS")[0])]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.document_license for r in find_licenses(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, text) for i, (_, text) in enumerate(rows)])
+    same_rows(find_licenses(df), con, queries.OP10_SQL)
