@@ -36,20 +36,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files as soon as it ends.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; dropped one by one or all at the end.
 
-    A written table survives the loss of any executor, and what it was computed
-    from (shuffle files included) can be released as soon as it exists.
+    A written table survives the loss of any executor, and the shuffle files that
+    it was computed from are released as soon as it exists. What is not dropped
+    goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> str:
+        """The path of ``df``, written as Parquet."""
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        path, conf = f"{self.root}/{self.n:03d}-{name}", self.spark.conf
+        before = conf.get(_RELEASE, None)
+        conf.set(_RELEASE, "true")
+        try:
+            (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        finally:
+            conf.set(_RELEASE, before) if before is not None else conf.unset(_RELEASE)
+        if self.n == 1:
+            delete_at_exit(self.spark, self.root)
+        return path
+
+    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = self.write(df, name)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -61,10 +78,43 @@ class Scratch:
         delete_path(self.spark, self.root)
 
 
+def _located(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _located(spark, path)
+    fs.delete(p, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, p = _located(spark, path)
+    fs.deleteOnExit(p)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _located(spark, path)
+    return fs.exists(p)
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _located(spark, path)
+    if not fs.rename(p, _located(spark, to)[1]):
+        raise OSError(f"{path} cannot become {to}")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, part: int = 4 << 20) -> None:
+    """A file of the shared folder, deleted when the driver ends."""
+    fs, p = _located(spark, path)
+    out = fs.create(p, True)
+    try:
+        for at in range(0, len(data), part):
+            out.write(bytearray(data[at : at + part]))
+    finally:
+        out.close()
+    fs.deleteOnExit(p)
 
 
 def ship_package(spark: SparkSession) -> None:
