@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.cache import Memo, only, tidied
+from graphloom.llm.rows import ROW, boxed, own, quoted
 from graphloom.llm.words import encode_texts
 from graphloom.runtime import ship_package
 
@@ -199,19 +201,20 @@ def codec(path: str) -> ByteBpe:
 def _mapped(df: DataFrame, tokenizer_path: str, text_col: str, out: list[T.StructField], make) -> DataFrame:
     """``df`` with columns of ``make(codec, texts, ends, ids)`` in place of the text."""
     ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, *(f.name for f in out))]
-    schema = T.StructType([*(df.schema[c] for c in keep), *out])
+    names = [f.name for f in out]
+    table = boxed(df, F.col(quoted(text_col)).alias("text"), but=(text_col, *names))
+    schema = T.StructType([table.schema[ROW], *out])
 
     def run(batches):
         bpe = codec(tokenizer_path)
         for batch in batches:
-            texts, at = batch.column(text_col), 0
+            texts, at = batch.column("text"), 0
             for n, ends, ids in bpe.batches(texts):
-                cols = [*(batch.column(c).slice(at, n) for c in keep), *make(bpe, texts.slice(at, n), ends, ids)]
+                cols = [batch.column(ROW).slice(at, n), *make(bpe, texts.slice(at, n), ends, ids)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
                 at += n
 
-    return df.select(*keep, text_col).mapInArrow(tidied(run), schema)
+    return table.mapInArrow(tidied(run), schema).select(*own(df, text_col, *names), *(F.col(quoted(c)) for c in names))
 
 
 def _lists(ends: np.ndarray, ids: np.ndarray) -> pa.ListArray:
@@ -227,16 +230,16 @@ def encode_column(df: DataFrame, tokenizer_path: str, text_col: str = "text", id
 def decode_column(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``df`` with token ids (null: none) replaced by the text they stand for."""
     ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, ids_col)]
-    schema = T.StructType([df.schema[c] for c in keep]).add(text_col, T.StringType())
+    table = boxed(df, F.col(quoted(ids_col)).alias("ids"), but=(text_col, ids_col))
+    schema = T.StructType([table.schema[ROW]]).add("text", T.StringType())
 
     def run(batches):
         decode = codec(tokenizer_path).decode
         for batch in batches:
-            texts = pa.array([decode(v.as_py() or []) for v in batch.column(ids_col)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=schema.names)
+            texts = pa.array([decode(v.as_py() or []) for v in batch.column("ids")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), texts], names=schema.names)
 
-    return df.select(*keep, ids_col).mapInArrow(tidied(run), schema)
+    return table.mapInArrow(tidied(run), schema).select(*own(df, text_col, ids_col), F.col("text").alias(text_col))
 
 
 def round_trip_digests(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.rows import boxed, unboxed
+from graphloom.llm.rows import boxed, own, quoted, unboxed
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -98,41 +98,41 @@ def repeated_words(w: Column) -> Column:
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the measurements (all long) of each text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    keep = [c for c in df.columns if c not in (*MEASURES, "_w", "_l")]
-    first = df.select(
-        *keep,
+    first = boxed(
+        df,
         of_words.alias("_w"),
         of_lines.alias("_l"),
         (F.length(text) - count_chars(text, SPACES)).cast("long").alias("word_chars"),
         count_chars(text, SYMBOLS).alias("n_symbols"),
         count_chars(text, UPPER).alias("n_upper"),
+        but=MEASURES,
     )
     fields = {"n_words": F.col("_w.n"), "n_dup_lines": F.col("_l.d"), "n_repeat_words": F.col("_w.r"), "n_lines": F.col("_l.n")}
-    return first.select(*keep, *(fields.get(m, F.col(m)).alias(m) for m in MEASURES))
+    return first.select(*own(df, *MEASURES), *(fields.get(m, F.col(m)).alias(m) for m in MEASURES))
 
 
 def quality_ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the measurements and fail_bits (int)."""
+    """``df`` with the measurements and fail_bits (long: room for 63 rules)."""
     measured = measure(df, text_col)
-    bits = F.lit(0)
+    bits = F.lit(0).cast("long")
     for rule in RULES:
-        bits = bits.bitwiseOR(F.when(F.coalesce(rule.failed(), F.lit(False)), F.lit(BIT[rule.name])).otherwise(F.lit(0)))
+        bits = bits.bitwiseOR(F.when(F.coalesce(rule.failed(), F.lit(False)), F.lit(BIT[rule.name]).cast("long")).otherwise(F.lit(0).cast("long")))
     return measured.withColumn("fail_bits", bits)
 
 
 def apply_policy(ledger: DataFrame, policy: str = "v1", column: str = "kept") -> DataFrame:
     """The ledger with a boolean: no rule of the policy failed."""
-    return ledger.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0)
+    return ledger.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0)
 
 
 def ablations(ledger: DataFrame) -> DataFrame:
     """For each policy and rule of it: documents rejected, by it alone, and without it."""
     patterns = ledger.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
-    cases = [F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(mask).alias("mask"), F.lit(BIT[r]).alias("bit")) for p, mask in POLICIES.items() for r in BIT if mask & BIT[r]]
+    cases = [F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(mask).cast("long").alias("mask"), F.lit(BIT[r]).cast("long").alias("bit")) for p, mask in POLICIES.items() for r in BIT if mask & BIT[r]]
     each = patterns.select("fail_bits", "n", F.explode(F.array(*cases)).alias("c")).select("fail_bits", "n", "c.*")
     hit = F.col("fail_bits").bitwiseAND(F.col("mask"))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
@@ -146,4 +146,4 @@ def ablations(ledger: DataFrame) -> DataFrame:
 
 def keep_good(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with ``df``'s columns only."""
-    return unboxed(apply_policy(quality_ledger(boxed(df, F.col(text_col).alias("text"))), policy).where("kept"))
+    return unboxed(apply_policy(quality_ledger(boxed(df, F.col(quoted(text_col)).alias("text"))), policy).where("kept"))

@@ -115,7 +115,7 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_upper > 40 * word_chars) AS kept,
-       ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 25 * n_words)::INT + 8 * (100 * n_dup_lines > 40 * n_lines)::INT + 16 * (100 * n_upper > 40 * word_chars)::INT + 32 * (word_chars > 200 * n_words)::INT)::INT AS fail_bits
+       ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 25 * n_words)::INT + 8 * (100 * n_dup_lines > 40 * n_lines)::INT + 16 * (100 * n_upper > 40 * word_chars)::INT + 32 * (word_chars > 200 * n_words)::INT)::BIGINT AS fail_bits
 FROM m
 """
 

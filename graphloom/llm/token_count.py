@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.cache import Memo, only
+from graphloom.llm.rows import ROW, boxed, own, quoted
 from graphloom.runtime import ship_package
 
 SPACE = "▁"
@@ -108,19 +109,19 @@ def counter(path: str) -> PieceCounter:
 def token_counts(df: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit (n_tokens > limit) in place of the text."""
     ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    kept = df.select(*keep, text_col)
-    schema = T.StructType([f for f in kept.schema if f.name != text_col]).add("n_bytes", T.LongType()).add("n_tokens", T.LongType())
+    new = (text_col, "n_bytes", "n_tokens", "over_limit")
+    kept = boxed(df, F.col(quoted(text_col)).alias("text"), but=new)
+    schema = T.StructType([kept.schema[ROW]]).add("n_bytes", T.LongType()).add("n_tokens", T.LongType())
 
     def run(batches):
         count = counter(model_path).count
         for batch in batches:
-            column = batch.column(text_col)
+            column = batch.column("text")
             n_bytes, n_tokens = [], []
             for value in column:  # one text at a time in memory besides the batch
                 text = value.as_py() or ""
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(count(text))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return kept.mapInArrow(run, schema).select(*own(df, *new), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

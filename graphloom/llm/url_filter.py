@@ -5,25 +5,30 @@ subdomains, where the url's path starts with the rule's path. Among the rules
 that fit, the longest (host and path together) decides; of equally long ones
 the one with the longer host, then block before allow.
 
-Blocks of at most ``block_entries`` rules become one trie each and are
-broadcast; a longer list is applied block by block, each carrying the best
-match so far, so no broadcast grows with the list and no shuffle is needed.
+At most ``block_entries`` rules become one trie, broadcast as it is and loaded
+once in each Python worker; a longer list is applied block by block, each
+carrying the best match so far, so no broadcast grows with the list and no
+shuffle is needed.
 
 Nulls and urls without ``://`` have an empty host and path, match nothing and
 get the default verdict. Repeated rules and repeated rows are harmless; an
 empty rule list gives every row the default; columns that clash with the
-output names are replaced.
+output names are replaced (the url may be read from one of them).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.cache import only
+from graphloom.llm.rows import boxed, own, quoted
 from graphloom.runtime import Scratch, ship_package
 
 _URL = re.compile(r"\A.*?://([^/?#]*)([^?#]*)", re.S)
@@ -95,35 +100,33 @@ def url_verdicts(
     rules: Iterable[tuple[str, str]],
     url_col: str = "url",
     default: str = ALLOW,
-    block_entries: int = 200_000,
+    block_entries: int = 1_000_000,
 ) -> DataFrame:
     """``df`` with host, path, rule (or null) and verdict of each row's url."""
     spark = df.sparkSession
     ship_package(spark)
     parsed = parse_rules(rules)
     blocks = [parsed[i : i + block_entries] for i in range(0, len(parsed), block_entries)] or [[]]
-    names = ["_host", "_path", "_rule", "_verdict"]
-    out = df.select(*(c for c in df.columns if c not in (*OUT, *names, "_rank")))
+    out = boxed(df, F.col(quoted(url_col)).cast("string").alias("url"), but=OUT)
+    schema = T.StructType(list(out.schema))
+    for name in OUT:
+        schema = schema.add(name, T.StringType())
+    schema = schema.add("rank", T.ArrayType(T.IntegerType()))
     scratch = Scratch(spark, "url_filter") if len(blocks) > 1 else None
     for i, block in enumerate(blocks):
         if i:
             out = scratch.table(out, "block")
-        shared = spark.sparkContext.broadcast(block)
-        schema = T.StructType([f for f in out.schema if not (i and f.name in (*names, "_rank"))])
-        for n in names:
-            schema = schema.add(n, T.StringType())
-        schema = schema.add("_rank", T.ArrayType(T.IntegerType()))
-        out = out.mapInArrow(_judge(shared, url_col, default, [f.name for f in schema][:-5]), schema)
-    cols = [c for c in out.columns if c not in (*names, "_rank") and c not in OUT]
-    return out.select(*cols, *(out[f"_{n}"].alias(n) for n in OUT))
+        out = out.mapInArrow(_judge(spark.sparkContext.broadcast(UrlTrie(block)), uuid.uuid4().hex, default), schema)
+    return out.select(*own(df, *OUT), *OUT)
 
 
-def _judge(shared, url_col: str, default: str, keep: list[str]):
+def _judge(shared, name: str, default: str):
     def run(batches):
-        trie = UrlTrie(shared.value)
+        trie = only(("trie", name), lambda: shared.value)
         for batch in batches:
-            urls = batch.column(url_col).to_pylist()
-            prior = zip(*(batch.column(c).to_pylist() for c in ("_rank", "_rule", "_verdict")), strict=True) if "_rank" in batch.schema.names else (None for _ in urls)
+            urls = batch.column("url").to_pylist()
+            again = "rank" in batch.schema.names
+            prior = zip(*(batch.column(c).to_pylist() for c in ("rank", "rule", "verdict")), strict=True) if again else (None for _ in urls)
             hosts, paths, rules, verdicts, ranks = [], [], [], [], []
             for url, before in zip(urls, prior, strict=False):
                 host, path = split_url(url)
@@ -136,7 +139,7 @@ def _judge(shared, url_col: str, default: str, keep: list[str]):
                 rules.append(best[1] if best else None)
                 verdicts.append(best[2] if best else default)
                 ranks.append([int(x) for x in best[0]] if best else None)
-            cols = [batch.column(c) for c in keep] + [pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts)] + [pa.array(ranks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_host", "_path", "_rule", "_verdict", "_rank"])
+            cols = [batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts)), pa.array(ranks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:2], *OUT, "rank"])
 
     return run
