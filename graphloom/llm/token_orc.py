@@ -3,7 +3,8 @@
 ``write_token_orc`` encodes texts, appends an end id and writes rows in
 ascending document order: documents are dealt out by ranges of (id, hash of the
 text), so file k holds only ids up to those of file k + 1, and each task sorts,
-encodes and writes its own range. ORC's integer columns are run-length and
+encodes and writes its own range. A file holds about ``file_bytes`` of text (or
+less, down to ``least_bytes``, where there would be fewer files than cores). ORC's integer columns are run-length and
 bit-packed; every stripe has a row index, and the id column a Bloom filter, so
 that a lookup of ids reads only the stripes and row groups that may hold them.
 ``pos`` is the row's place: the number of the file in its high bits, the row in
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.cache import only, tidied
+from graphloom.llm.rows import quoted
 from graphloom.llm.words import encode_texts
 from graphloom.runtime import Scratch, delete_path, scratch_path, ship_package
 
@@ -70,11 +72,13 @@ def encoder(path: str) -> LibraryEncoder:
     return only(("library", path), lambda: LibraryEncoder(path))
 
 
-def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, stripe_bytes: int = 64 << 20, rows_per_group: int = 1000) -> None:
+def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 256 << 20, least_bytes: int = 8 << 20, stripe_bytes: int = 64 << 20, rows_per_group: int = 1000) -> None:
     """Write ``df``'s texts as ids, in ascending order of ``id_col``."""
     spark = df.sparkSession
     ship_package(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, -(-total // least_bytes)))
 
     def run(batches):
         for batch in batches:
@@ -83,7 +87,6 @@ def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
                 at += n
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     made = dealt.mapInArrow(tidied(run), "doc_id long, ids array<int>").select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids")
