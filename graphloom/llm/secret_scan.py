@@ -9,7 +9,8 @@ coverage, path, neighbouring words) go to a forest trained here from labelled
 findings, which the scanner's own split of labelled texts gives; a
 finding is a secret if at least ``threshold`` of the trees say so. The forest
 is turned into one expression over the array of a row's candidates, so nothing
-is exploded or shuffled and a row may hold any number of candidates.
+is exploded or shuffled and a row may hold any number of candidates; their
+places are running sums made by doubling, so the work is n log n in them.
 
 Training takes at most ``max_findings`` labelled findings (in the order of
 their hash, in one partition, with a fixed seed, so the same findings give the
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.quality import let
-from graphloom.llm.rows import ROW, boxed
+from graphloom.llm.rows import ROW, boxed, others, own, quoted
 
 # What a candidate looks like. One pattern for Java's and Python's
 # expressions: what stands before a value is checked by looks behind of one width each.
@@ -285,29 +286,40 @@ def train(spark: SparkSession, findings: DataFrame | None = None, max_findings:
     return forest
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's first 1, 2, ... elements: each pass adds what stands 2^k places before."""
+
+    def wider(sums: Column, step: int) -> Column:
+        added = lambda s: F.transform(s, lambda x, i: x + F.coalesce(F.get(s, i - step), F.lit(0)))
+        return let(sums, lambda s: F.when(F.size(s) > step, added(s)).otherwise(s))
+
+    for k in range(31):
+        numbers = wider(numbers, 1 << k)
+    return numbers
+
+
 def scan_secrets(df: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with candidates: an array of (start, candidate, score, secret) in text order.
 
     start counts characters from 0.
     """
-    text = F.col(text_col)
+    text = F.col(quoted(text_col))
 
     def judged(parts: Column, found: Column) -> Column:
-        lengths = F.transform(found, lambda c, i: F.length(c) + F.length(F.get(parts, i)))
-        start = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.length(F.get(parts, i)), lambda n, x: n + x)
-
-        def one(c: Column, i: Column) -> Column:
-            # A long name is a candidate of its own, and stands before the value all the same.
-            last = F.coalesce(F.get(found, i - 1), F.lit(""))
-            before, after = F.right(F.concat(last, F.get(parts, i)), F.lit(BESIDE)), F.left(F.get(parts, i + 1), F.lit(BESIDE))
-            score = let(F.array(*features(before, c, after)), forest.column)
-            return let(score, lambda s: F.struct(start(i).alias("start"), c.alias("candidate"), s.alias("score"), (s >= threshold).alias("secret")))
+        ends = running_sums(F.transform(found, lambda c, i: F.length(c) + F.length(F.get(parts, i))))
+        return let(ends, lambda e: F.transform(found, lambda c, i: one(parts, found, e, c, i)))
 
-        return F.transform(found, one)
+    def one(parts: Column, found: Column, ends: Column, c: Column, i: Column) -> Column:
+        start = F.get(ends, i) - F.length(c)
+        # A long name is a candidate of its own, and stands before the value all the same.
+        last = F.coalesce(F.get(found, i - 1), F.lit(""))
+        before, after = F.right(F.concat(last, F.get(parts, i)), F.lit(BESIDE)), F.left(F.get(parts, i + 1), F.lit(BESIDE))
+        score = let(F.array(*features(before, c, after)), forest.column)
+        return let(score, lambda s: F.struct(start.alias("start"), c.alias("candidate"), s.alias("score"), (s >= threshold).alias("secret")))
 
     some = let(F.split(text, CANDIDATE, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: judged(parts, found)))
     none = F.array().cast("array<struct<start:int,candidate:string,score:double,secret:boolean>>")
-    return df.select(*(c for c in df.columns if c != "candidates"), F.when(text.rlike(CANDIDATE), some).otherwise(none).alias("candidates"))
+    return df.select(*(F.col(quoted(c)) for c in others(df, "candidates")), F.when(text.rlike(CANDIDATE), some).otherwise(none).alias("candidates"))
 
 
 def redacted(text: Column, candidates: Column, mask: str = MASK) -> Column:
@@ -320,22 +332,22 @@ def redacted(text: Column, candidates: Column, mask: str = MASK) -> Column:
 
 def redact_secrets(df: DataFrame, forest: Forest, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with secrets masked in the text and, where there is such a column, its length."""
-    found = scan_secrets(boxed(df, F.col(text_col).alias("text")), forest).withColumn("text", redacted(F.col("text"), F.col("candidates")))
+    found = scan_secrets(boxed(df, F.col(quoted(text_col)).alias("text")), forest).withColumn("text", redacted(F.col("text"), F.col("candidates")))
     new = {text_col: F.col("text")}
     if length_col in df.columns:
         changed = F.exists("candidates", lambda c: c["secret"])
-        new[length_col] = F.when(changed, F.length("text")).otherwise(F.col(f"{ROW}.`{length_col}`")).cast(df.schema[length_col].dataType)
-    return found.select(*(new.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in df.columns))
+        new[length_col] = F.when(changed, F.length("text")).otherwise(F.col(f"{ROW}.{quoted(length_col)}")).cast(df.schema[length_col].dataType)
+    return found.select(*(new.get(c, F.col(f"{ROW}.{quoted(c)}")).alias(c) for c in df.columns))
 
 
 def secret_report(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """n_candidates, n_secrets, secret_starts and redacted_sha256 in place of the text."""
-    keep = [c for c in df.columns if c not in (text_col, "n_candidates", "n_secrets", "secret_starts", "redacted_sha256")]
+    new = (text_col, "n_candidates", "n_secrets", "secret_starts", "redacted_sha256")
     secret = F.filter("candidates", lambda c: c["secret"])
-    return scan_secrets(df.select(*keep, text_col), forest, text_col).select(
-        *keep,
+    return scan_secrets(boxed(df, F.col(quoted(text_col)).alias("text"), but=new), forest).select(
+        *own(df, *new),
         F.size("candidates").cast("long").alias("n_candidates"),
         F.size(secret).cast("long").alias("n_secrets"),
         F.array_join(F.transform(secret, lambda c: c["start"].cast("string")), ",").alias("secret_starts"),
-        F.sha2(redacted(F.coalesce(F.col(text_col), F.lit("")), F.col("candidates")), 256).alias("redacted_sha256"),
+        F.sha2(redacted(F.coalesce(F.col("text"), F.lit("")), F.col("candidates")), 256).alias("redacted_sha256"),
     )
