@@ -3,74 +3,239 @@
 Words are runs of characters other than ASCII separators, with A-Z lower-cased;
 items (questions, answers) and documents are normalised alike, as UTF-8 bytes.
 Every window of ``window`` consecutive item words is a pattern, a shorter item
-is one window. The automaton runs over word numbers. Each text is scanned once;
-matches are stretches of words and, for ``contaminated_spans``,
-character offsets of the original text.
-
-The patterns of at most ``block_bytes`` of item text make up one automaton and
-are broadcast. More items than that are scanned block by block, each block's
-automaton over the whole table, with what was hit so far written in between: no
-broadcast grows with the benchmark and no item is left out.
+is one window. Each text is scanned once; matches are stretches of words and,
+for ``contaminated_spans``, character offsets of the original text.
+
+The automaton runs over 64-bit hashes of words and is kept as flat arrays, about
+21 bytes a word of the items. Its trie holds what follows each word of an item,
+up to ``window`` words, and is implicit in the sorted order of these: a state is
+a range of that order and a depth. The state to fall back to needs no table: if
+the text matches what follows an item's word, its end matches what follows the
+next word, one word shorter. Most stretches of a text never reach the automaton:
+two neighbouring words that are neighbours in no item end every match, and a bit
+table of such pairs finds the stretches between.
+
+The arrays are written to one file of the shared folder, handed to each executor
+once, and opened there memory-mapped by all its workers, so one automaton and one
+scan do for a benchmark of any size. Building it takes the driver some ten times
+the file's size, so the benchmark must be far smaller than the corpus.
 
 Null, empty and wordless texts have no words and no hits; items without words
-have no windows. Repeated items count one by one (by their ids); rows are mapped
-one to one. A word inside several windows counts once.
+have no windows. Items are told apart by their ids: equal ids are one item, and
+those without an id count as one that is not named. Rows are mapped one to one;
+a word inside several windows counts once. Columns that clash with the output
+names are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
+import uuid
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.cache import tidied
-from graphloom.llm.rows import boxed, unboxed
-from graphloom.runtime import Scratch, ship_package
+from graphloom.llm.cache import Memo, only, tidied
+from graphloom.llm.rows import ROW, boxed, own, quoted
+from graphloom.runtime import scratch_path, ship_package, write_bytes
 
 # Every ASCII byte but digits and letters separates words; A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 # Words of a text before A-Z are lower-cased.
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the pair table for each pair of the items, so about one pair in sixteen passes by chance.
+PAIR_BITS = 16
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
+def _word_memo() -> Memo:
+    import xxhash
+
+    return Memo(xxhash.xxh3_64_intdigest)
+
+
+def _pairs(words: np.ndarray, bits: int) -> np.ndarray:
+    """The place in a table of 2^bits of each two neighbouring words."""
+    x = (words[:-1] * _ODD) ^ words[1:]
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones, from 1."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+
+
 class ItemAutomaton:
-    """Aho-Corasick over word numbers: a symbol is a word of the items, 0 any other word."""
-
-    def __init__(self, items: list[tuple], window: int):
-        import ahocorasick
-
-        self.items = items
-        self.words: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], list[int]] = {}
-        for k, (_, text) in enumerate(items):
-            numbers = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text or "")]
-            for w in {tuple(numbers[i : i + window]) for i in range(max(1, len(numbers) - window + 1))} if numbers else ():
-                owners.setdefault(w, []).append(k)
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, ks in owners.items():
-            self.machine.add_word(w, (len(w), ks))
-        self.empty = not owners
-        if owners:
-            self.machine.make_automaton()
+    """Aho-Corasick over word hashes, in flat arrays.
+
+    ``words``: the items' words, one item after another; ``left``: words from
+    each place to its item's end; ``owner``: the item of each place; ``order``:
+    all places, sorted by the ``window`` words that follow (fewer at an item's
+    end, which sorts first); ``table``: the bits of neighbouring pairs.
+    """
+
+    FIELDS = (("words", np.uint64), ("order", np.int64), ("left", np.int32), ("owner", np.int32), ("short", np.int32), ("table", np.uint8))
+
+    def __init__(self, arrays: dict[str, np.ndarray], window: int):
+        self.window = window
+        for name, _ in self.FIELDS:
+            setattr(self, name, arrays[name])
+        self.bits = int(len(self.table) * 8).bit_length() - 1
+        self.empty = not len(self.words)
+        # Items that are one short window each, by their words.
+        self.whole: dict[tuple, list[int]] = {}
+        for at in self.short.tolist():
+            n = int(self.left[at])
+            self.whole.setdefault(tuple(self.words[at : at + n].tolist()), []).append(int(self.owner[at]))
+        lengths = {len(w) for w in self.whole}
+        self.singles = np.array(sorted(w[0] for w in self.whole if len(w) == 1), dtype=np.uint64)
+        self.short_lengths = sorted(lengths - {1})
+        full = bool(len(self.left)) and bool((self.left >= window).any())
+        self.least = min([*self.short_lengths, *([window] if full else [])], default=0)
+        self.hashes = _word_memo()
+        self.seen: dict[bytes, list] = {}
+
+    @classmethod
+    def build(cls, texts, window: int) -> ItemAutomaton:
+        hashes, parts = _word_memo(), []
+        for text in texts:
+            parts.append(np.fromiter(map(hashes.__getitem__, words_of(text or "")), dtype=np.uint64))
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        words = np.concatenate([*parts, np.empty(0, np.uint64)])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        left = (ends - np.arange(len(words))).astype(np.int32)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        firsts = (np.cumsum(sizes) - sizes)[(sizes > 0) & (sizes < window)].astype(np.int32)
+        inner = left[:-1] > 1
+        n_pairs = int(inner.sum())
+        bits = max(10, int(n_pairs * PAIR_BITS - 1).bit_length())
+        table = np.zeros(1 << bits >> 3, dtype=np.uint8)
+        if n_pairs:
+            at = _pairs(words, bits)[inner]
+            np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        order = np.argsort(cls._ranks(words, left, window), kind="stable").astype(np.int64)
+        return cls({"words": words, "order": order, "left": left, "owner": owner, "short": firsts, "table": table}, window)
+
+    @staticmethod
+    def _ranks(words: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
+        """The rank of the ``window`` words from each place, by doubling."""
+
+        def further(ranks: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros(len(ranks), dtype=np.int64)
+            at = np.flatnonzero(left > by)
+            out[at] = ranks[at + by]
+            return out
+
+        if not len(words):
+            return np.empty(0, np.int64)
+        now, length, out, covered = _dense(words), 1, None, 0
+        join = lambda a, b: _dense(a * (int(b.max()) + 1) + b)
+        while window > 0:
+            if window & 1:
+                out = now if out is None else join(out, further(now, covered))
+                covered += length
+            window >>= 1
+            if window:
+                now, length = join(now, further(now, length)), length * 2
+        return out
+
+    def to_bytes(self) -> bytes:
+        arrays = [np.ascontiguousarray(getattr(self, name), dtype=kind) for name, kind in self.FIELDS]
+        head = np.array([self.window, *(len(a) for a in arrays)], dtype=np.int64).tobytes()
+        return b"".join([head, *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)])
+
+    @classmethod
+    def open(cls, path: str) -> ItemAutomaton:
+        """From a file, memory-mapped."""
+        data = np.memmap(path, dtype=np.uint8, mode="r")
+        head = data[: 8 * (len(cls.FIELDS) + 1)].view(np.int64)
+        arrays, at = {}, 8 * len(head)
+        for (name, kind), n in zip(cls.FIELDS, head[1:].tolist(), strict=True):
+            size = n * np.dtype(kind).itemsize
+            arrays[name] = data[at : at + size].view(kind)
+            at += size + -size % 8
+        return cls(arrays, int(head[0]))
+
+    def _step(self, lo: int, hi: int, depth: int, word: int) -> tuple[int, int]:
+        """The part of a state's range in which ``word`` follows."""
+        order, left, words = self.order, self.left, self.words
+
+        def following(k: int) -> int:
+            at = order[k]
+            return int(words[at + depth]) if left[at] > depth else -1
+
+        span = range(lo, hi)
+        a = bisect_left(span, word, key=following)
+        return lo + a, lo + bisect_right(span, word, lo=a, key=following)
+
+    def _state(self, at: int, depth: int) -> tuple[int, int]:
+        """The range of what starts like the ``depth`` words from a place."""
+        lo, hi = 0, len(self.order)
+        for k in range(depth):
+            lo, hi = self._step(lo, hi, k, int(self.words[at + k]))
+        return lo, hi
+
+    def _run(self, words: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(from, to, items) of each window in a stretch of words."""
+        key = words.tobytes() if len(words) <= 512 else None
+        if key in self.seen:
+            return self.seen[key]
+        found = []
+        lo, hi, depth = 0, len(self.order), 0
+        text = words.tolist()
+        for i, word in enumerate(text):
+            while True:
+                a, b = self._step(lo, hi, depth, word) if depth < self.window else (0, 0)
+                if a < b:
+                    lo, hi, depth = a, b, depth + 1
+                    break
+                if depth == 0:
+                    break
+                place = int(self.order[lo])
+                depth -= 1
+                lo, hi = self._state(place + 1, depth) if depth else (0, len(self.order))
+            if depth == self.window:
+                found.append((i + 1 - depth, i + 1, np.unique(self.owner[self.order[lo:hi]]).tolist()))
+            for n in self.short_lengths:
+                if n <= depth and (items := self.whole.get(tuple(text[i + 1 - n : i + 1]))):
+                    found.append((i + 1 - n, i + 1, items))
+        if key is not None:
+            if len(self.seen) >= 10_000:
+                self.seen.clear()
+            self.seen[key] = found
+        return found
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit stretches of words [from, to), numbers of the items found."""
-        words = words_of(text)
-        if self.empty or not words:
-            return len(words), [], set()
+        split = words_of(text)
+        if self.empty or not split:
+            return len(split), [], set()
+        words = np.fromiter(map(self.hashes.__getitem__, split), dtype=np.uint64, count=len(split))
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        for end, (n, ks) in self.machine.iter(tuple(map(self.words.get, words, repeat(0)))):
-            items.update(ks)
-            spans.append((end + 1 - n, end + 1))
+        if len(self.singles):
+            for i in np.flatnonzero(np.isin(words, self.singles)).tolist():
+                spans.append((i, i + 1))
+                items.update(self.whole[(int(words[i]),)])
+        if self.least and len(words) >= self.least:
+            at = _pairs(words, self.bits)
+            live = np.concatenate(([0], self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1, [0]))
+            turns = np.diff(live.astype(np.int8))
+            starts, stops = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+            long = stops - starts >= self.least - 1
+            for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
+                for start, stop, found in self._run(words[a : b + 1]):
+                    spans.append((a + start, a + stop))
+                    items.update(found)
         return len(words), merge_spans(spans), items
 
 
@@ -90,64 +255,79 @@ def character_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Lists of (id, text) of at most so many bytes each (or one item), one at a time on the driver."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    block, held = [], 0
-    for row in items.toLocalIterator():
-        size = len(row.text.encode()) + 64
-        if block and held + size > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row.id, row.text))
-        held += size
-    yield block
-
-
-def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """``df`` with n_words, spans (of word numbers) and item_ids (distinct, sorted as strings)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    keep = [c for c in df.columns if c not in ("n_words", "spans", "item_ids")]
-    schema = T.StructType([df.schema[c] for c in keep]).add("n_words", T.LongType()).add("spans", T.ArrayType(T.ArrayType(T.IntegerType()))).add("item_ids", T.ArrayType(T.StringType()))
-    out, scratch, first = df.select(*keep), None, True
-    for block in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        if not first:
-            scratch = scratch or Scratch(spark, "decontam")
-            out = scratch.table(out, "block")
-        shared = spark.sparkContext.broadcast((window, block))
-        out = out.mapInArrow(tidied(_scanner(shared, text_col, keep, first)), schema)
-        first = False
-    return out
+def share_automaton(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int) -> tuple[str, str]:
+    """Names of the two files, automaton and item ids, that every executor gets once."""
+    items = benchmark.select(F.col(quoted(id_col)).cast("string").alias("id"), F.col(quoted(text_col)).alias("text")).where("text is not null")
+    ids: list[str | None] = []
+
+    def texts():
+        for row in items.toLocalIterator():
+            ids.append(row.id)
+            yield row.text
 
+    automaton = ItemAutomaton.build(texts(), window)
+    sink = pa.BufferOutputStream()
+    table = pa.table({"id": pa.array(ids, pa.string())})
+    with pa.ipc.new_file(sink, table.schema) as writer:
+        writer.write_table(table)
+    names = []
+    for kind, data in (("automaton", automaton.to_bytes()), ("items", sink.getvalue().to_pybytes())):
+        path = scratch_path(spark, f"decontam-{kind}")
+        write_bytes(spark, path, data)
+        spark.sparkContext.addFile(path)
+        names.append(path.rsplit("/", 1)[-1])
+    return names[0], names[1]
+
+
+def _opened(names: tuple[str, str]):
+    from pyspark import SparkFiles
+
+    def make():
+        ids = pa.ipc.open_file(pa.memory_map(SparkFiles.get(names[1]))).read_all().column("id")
+        return ItemAutomaton.open(SparkFiles.get(names[0])), ids
+
+    return only(("automaton", names), make)
+
+
+_FOUND = ("n_words", "spans", "item_ids")
+
+
+def _scanned(table: DataFrame, benchmark: DataFrame, window: int, item_id_col: str, item_text_col: str, keep_text: bool) -> DataFrame:
+    """``table`` (ROW, text) with n_words, spans (of word numbers) and item_ids, and the text if asked for."""
+    ship_package(table.sparkSession)
+    names = share_automaton(table.sparkSession, benchmark, item_id_col, item_text_col, window)
+    kept = table.schema.names if keep_text else [ROW]
+    schema = T.StructType([table.schema[c] for c in kept]).add("n_words", T.LongType()).add("spans", T.ArrayType(T.ArrayType(T.IntegerType()))).add("item_ids", T.ArrayType(T.StringType()))
 
-def _scanner(shared, text_col: str, keep: list[str], first: bool):
     def run(batches):
-        window, items = shared.value
-        automaton = ItemAutomaton(items, window)
+        automaton, item_ids = _opened(names)
         for batch in batches:
             n_words, spans, ids = [], [], []
-            for i, value in enumerate(batch.column(text_col)):
+            for value in batch.column("text"):
                 n, hit, found = automaton.scan(value.as_py() or "")
-                names = {items[k][0] for k in found}
-                if not first:
-                    hit = merge_spans([*hit, *map(tuple, batch.column("spans")[i].as_py())])
-                    names.update(batch.column("item_ids")[i].as_py())
+                named = {item_ids[k].as_py() for k in found}
                 n_words.append(n)
                 spans.append([list(s) for s in hit])
-                ids.append(sorted(x for x in names if x is not None))
-            cols = [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_words", "spans", "item_ids"])
+                ids.append(sorted(named - {None}) + ([None] if None in named else []))
+            cols = [*(batch.column(c) for c in kept), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return table.mapInArrow(tidied(run), schema)
+
 
-    return run
+def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``df`` with n_words, spans (of word numbers) and item_ids (distinct, sorted as strings, null last)."""
+    table = boxed(df, F.col(quoted(text_col)).alias("text"), but=_FOUND)
+    return _scanned(table, benchmark, window, item_id_col, item_text_col, False).select(*own(df, *_FOUND), *_FOUND)
 
 
 def contamination_report(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated in place of the text."""
+    new = (text_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    table = boxed(df, F.col(quoted(text_col)).alias("text"), but=new)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
-    found = find_contamination(df, benchmark, window, text_col)
-    return found.select(
-        *(c for c in df.columns if c not in (text_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")),
+    return _scanned(table, benchmark, window, "item_id", "text", False).select(
+        *own(df, *new),
         "n_words",
         hit.alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
@@ -157,20 +337,22 @@ def contamination_report(df: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def contaminated_spans(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """``df`` with char_spans: character offsets [from, to) of what the benchmark also holds."""
-    found = find_contamination(df, benchmark, window, text_col)
-    keep = [c for c in found.columns if c not in ("spans", "char_spans")]
-    schema = T.StructType([found.schema[c] for c in keep]).add("char_spans", T.ArrayType(T.ArrayType(T.IntegerType())))
+    """``df`` with n_words, item_ids and char_spans: character offsets [from, to) of what the benchmark also holds."""
+    new = ("n_words", "item_ids", "char_spans")
+    found = _scanned(boxed(df, F.col(quoted(text_col)).alias("text"), but=new), benchmark, window, "item_id", "text", True)
+    kind = pa.list_(pa.list_(pa.int32()))
+    schema = T.StructType([found.schema[c] for c in (ROW, "n_words", "item_ids")]).add("char_spans", T.ArrayType(T.ArrayType(T.IntegerType())))
 
     def run(batches):
         for batch in batches:
-            got = [[list(s) for s in character_spans(text.as_py(), spans.as_py())] if len(spans) else [] for text, spans in zip(batch.column(text_col), batch.column("spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, schema_type)], names=schema.names)
+            got = [[list(s) for s in character_spans(text.as_py(), spans.as_py())] if len(spans) else [] for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(got, kind)], names=schema.names)
 
-    schema_type = pa.list_(pa.list_(pa.int32()))
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).select(*own(df, *new), *new)
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without any window of the benchmark, with ``df``'s columns."""
-    return unboxed(find_contamination(boxed(df, F.col(text_col).alias("text")), benchmark, window).where(F.size("spans") == 0))
+    table = boxed(df, F.col(quoted(text_col)).alias("text"), but=(text_col,))
+    clean = _scanned(table, benchmark, window, "item_id", "text", True).where(F.size("spans") == 0)
+    return clean.select(*(F.col("text").alias(c) if c.lower() == text_col.lower() else F.col(f"{ROW}.{quoted(c)}").alias(c) for c in df.columns))
