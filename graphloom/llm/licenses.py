@@ -7,14 +7,17 @@ with the digests of known licences. ``units`` says what is held against the
 list: the whole document, and each of its lines, so that a licence notice that
 stands on a line of its own is found too.
 
-The list of licences is broadcast while it has at most ``broadcast_rows`` rows;
-a longer one is joined by a shuffle on the digest. A unit's digest is looked up
-and only those found are kept, so a line that a third of the rows share costs
-no more than any other.
+The digest of the whole text is joined with the list by hash. Lines are looked
+up in the row: the canonical text is made once, with its line ends kept, and of
+its lines' digests only those of the list are left before anything else is done
+with them. That takes a list of at most ``literal_rows`` digests, which is then
+also broadcast; with a longer one the rows are numbered, written, and the digests
+of all units joined by a shuffle. Both give the same rows.
 
 Null and empty texts have no units. Repeated rows are reported one by one, a
 licence that a document holds twice is listed once. An empty table or list
-gives no findings. Copyright lines alone are no licence.
+gives no findings. Copyright lines alone are no licence. Columns that clash with
+the output names are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.quality import let
+from graphloom.llm.rows import ROW, boxed, own, quoted
+from graphloom.runtime import Scratch
+
 # Equivalent spellings, as (pattern, replacement) on lower-cased text.
 SPELLINGS = [
     (r"licence", "license"),
@@ -136,50 +143,73 @@ def _whole_texts() -> list[tuple[str, str, str]]:
 KNOWN += _whole_texts()
 
 
-def canonical(text: Column) -> Column:
-    """Lower-cased, without copyright lines, one spelling, words apart by single spaces."""
+def canonical_lines(text: Column) -> Column:
+    """Lower-cased, without copyright lines, one spelling, words of a line apart by single spaces, line ends kept."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def flat(lines: Column) -> Column:
+    """A canonical text without its line ends."""
+    return F.btrim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical text; null where nothing is left of it."""
-    form = canonical(text)
+def digest(form: Column) -> Column:
+    """SHA-256 of a canonical form; null where nothing is left of it."""
     return F.when(F.length(form) > 0, F.sha2(form, 256))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] = KNOWN) -> DataFrame:
     rows = spark.createDataFrame(known, "license string, kind string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license", "kind").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"), F.min("kind").alias("kind"))
+    return rows.select(digest(flat(canonical_lines(F.col("text")))).alias("digest"), "license", "kind").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"), F.min("kind").alias("kind"))
+
+
+def line_digests(lines: Column) -> Column:
+    """Digests of the distinct lines of a canonical text; null for those of which nothing is left."""
+    return F.transform(F.array_distinct(F.split(lines, "\n")), lambda x: digest(F.btrim(x)))
 
 
-def units(text: Column) -> Column:
-    """(whole, digest) of the whole text and of each line, where anything is left of them."""
-    lines = F.array_distinct(F.split(text, "\n"))
-    every = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(text).alias("digest"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))
-    return F.filter(every, lambda u: u["digest"].isNotNull())
+NEW = ("document_license", "license_ids", "n_licenses")
 
 
-def find_licenses(df: DataFrame, known: DataFrame | None = None, text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+def find_licenses(df: DataFrame, known: DataFrame | None = None, text_col: str = "text", literal_rows: int = 5_000) -> DataFrame:
     """``df`` with document_license, license_ids and n_licenses in place of the text.
 
     document_license: of the licence that the whole text is, or null;
     license_ids: those of the whole text and its lines, sorted, comma-joined.
+    ``known`` has digest and license, a row for each digest.
     """
     spark = df.sparkSession
-    known = known_digests(spark) if known is None else known
-    small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keep = [c for c in df.columns if c not in (text_col, "document_license", "license_ids", "n_licenses", "_row", "_unit", "_digest", "_license", "_ids")]
-    # The number is given before the explode and used after it, so it need not be the same in another run.
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, units(F.col(text_col)).alias("_unit"))
-    each = rows.select("_row", *keep, F.explode_outer("_unit").alias("_unit"))
-    named = known.select(F.col("digest").alias("_digest"), F.col("license").alias("_license"))
-    found = each.join(F.broadcast(named) if small else named, F.col("_unit.digest") == F.col("_digest"), "left")
-    ids = F.array_sort(F.collect_set("_license"))
-    return (
-        found.groupBy("_row")
-        .agg(*(F.first(c).alias(c) for c in keep), F.max(F.when(F.col("_unit.whole"), F.col("_license"))).alias("document_license"), ids.alias("_ids"))
-        .select(*keep, "document_license", F.array_join("_ids", ",").alias("license_ids"), F.size("_ids").cast("long").alias("n_licenses"))
-    )
+    known = (known_digests(spark) if known is None else known).select("digest", F.col("license").alias("_license"))
+    few = known.limit(literal_rows + 1).collect()
+    rows = boxed(df, F.col(quoted(text_col)).alias("text"), but=(text_col, *NEW))
+    if len(few) <= literal_rows:
+        found = _in_row(rows, few)
+    else:
+        found = _by_shuffle(rows, known, Scratch(spark, "licenses"))
+    ids = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("_license"), "_of_lines"), lambda x: x.isNotNull())))
+    named = found.select(ROW, "_license", ids.alias("_ids"))
+    return named.select(*own(df, text_col, *NEW), F.col("_license").alias("document_license"), F.array_join("_ids", ",").alias("license_ids"), F.size("_ids").cast("long").alias("n_licenses"))
+
+
+def _in_row(rows: DataFrame, known: list) -> DataFrame:
+    """ROW, the whole text's licence, and those of its lines."""
+    listed = [r.digest for r in known]
+    names = F.create_map(*(F.lit(x) for r in known for x in r)) if known else F.lit(None).cast("map<string,string>")
+    # A set of literals is searched by hash; the map only for what was found.
+    hits = lambda of_lines: F.transform(F.filter(of_lines, lambda d: d.isin(listed)), lambda d: names[d])
+    forms = rows.select(ROW, let(canonical_lines(F.col("text")), lambda x: F.struct(digest(flat(x)).alias("whole"), hits(line_digests(x)).alias("of_lines"))).alias("c"))
+    table = rows.sparkSession.createDataFrame([tuple(r) for r in known], "digest string, _license string")
+    named = forms.select(ROW, "c.*").join(F.broadcast(table), F.col("whole") == F.col("digest"), "left")
+    return named.select(ROW, "_license", F.coalesce("of_lines", F.array().cast("array<string>")).alias("_of_lines"))
+
+
+def _by_shuffle(rows: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for a list of any length: the numbers of rows are written before they are used."""
+    forms = rows.select(F.monotonically_increasing_id().alias("n"), ROW, let(canonical_lines(F.col("text")), lambda x: F.struct(digest(flat(x)).alias("whole"), line_digests(x).alias("of_lines"))).alias("c"))
+    forms = scratch.table(forms.select("n", ROW, "c.*"), "rows")
+    units = forms.select("n", F.lit(True).alias("all"), F.col("whole").alias("digest")).union(forms.select("n", F.lit(False), F.explode("of_lines"))).where("digest is not null")
+    found = units.join(known, "digest").groupBy("n").agg(F.max(F.when(F.col("all"), F.col("_license"))).alias("_license"), F.collect_set("_license").alias("_of_lines"))
+    return forms.select("n", ROW).join(found, "n", "left").select(ROW, "_license", F.coalesce("_of_lines", F.array().cast("array<string>")).alias("_of_lines"))

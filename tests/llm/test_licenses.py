@@ -19,7 +19,7 @@ def test_forms(spark, limit):
         (11, "Licensed under CC BY 4.0\nReleased under the MIT License."),
     ]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, license string").drop("license").withColumnRenamed("doc_id", "doc_id")
-    got = sorted(((r.doc_id or 0, r.document_license, r.license_ids, r.n_licenses) for r in find_licenses(df, broadcast_rows=limit).collect()), key=repr)
+    got = sorted(((r.doc_id or 0, r.document_license, r.license_ids, r.n_licenses) for r in find_licenses(df, literal_rows=limit).collect()), key=repr)
     want = [(1, "MIT", "MIT", 1), (2, "MIT", "MIT", 1), (3, None, "", 0), (4, None, "MIT", 1), (5, None, "", 0), (6, None, "", 0), (7, None, "", 0), (8, None, "", 0), (9, None, "", 0), (9, None, "", 0), (0, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1), (10, None, "Proprietary", 1), (11, None, "CC-BY-4.0,MIT", 2)]
     assert got == sorted(want, key=repr)
 
