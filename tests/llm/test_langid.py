@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import queries
+from graphloom.llm.langid import held_out as langid_held_out
 from graphloom.llm.langid import BUCKETS, MixtureModel, fit, identify, ngram_counts
 
 WORDS = {"en": "the of and to in is that with for was on as", "de": "der die und das ist nicht ein mit sich für auf", "fr": "le la les des est une dans que pour pas avec où"}
@@ -62,8 +63,93 @@ def test_edge_cases(spark, model):
     nothing = fit(df.selectExpr("text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in identify(df, nothing).collect()} == {"und"}
     assert identify(df.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        fit(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), max_languages=1)
+    assert fit(df.limit(0).selectExpr("text", "score as lang")).languages == []
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More labels than a task holds at once; each has letters of its own."""
+    from graphloom.llm import langid
+
+    names = [f"l{k:03d}" for k in range(300)]
+    own = lambda k: " ".join(chr(0x4E00 + 7 * k + j) * 3 for j in range(5))
+    monkeypatch.setattr(langid, "HELD_LABELS", 7)
+    many = fit(spark.createDataFrame([(own(k), x) for k, x in enumerate(names)] * 2, "text string, lang string"))
+    assert many.languages == names
+    assert [many.predict(own(k))[0] for k in (0, 150, 299)] == [names[k] for k in (0, 150, 299)]
+
+
+def plain_model(rows):
+    """Bucket probabilities of each language by the definition, in plain Python."""
+    from collections import Counter
+
+    counts = {}
+    for t, lang in rows:
+        counts.setdefault(lang, Counter()).update(plain_grams(t))
+    return {lang: [(c[b] + 0.5) / (sum(c.values()) + 0.5 * BUCKETS) for b in range(BUCKETS)] for lang, c in counts.items()}
+
+
+def plain_grams(t):
+    data = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode()) + b" "
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    at = lambda i: data[i] if i < len(data) else 0
+    out = []
+    for i in range(len(data)):
+        two = at(i) * 257 + at(i + 1) + 256
+        three = two * 1031 + at(i + 2) * 7919 + 40503
+        for g, fits in ((at(i), True), (two, i + 1 < len(data)), (three, i + 2 < len(data))):
+            if fits:
+                out.append((g * 2654435761 % 2**32) >> 18)
+    return out
+
+
+def plain_predict(model, t, penalty=3.0):
+    """Expectation-maximisation and the penalised choice, one n-gram at a time."""
+    import math
+
+    if t is None or not any(ch.isalpha() for ch in t):
+        return "und", 0.0
+    grams, names = plain_grams(t), sorted(model)
+
+    def mixture(chosen):
+        theta = dict.fromkeys(chosen, 1 / len(chosen))
+        while len(chosen) > 1:
+            new = dict.fromkeys(chosen, 0.0)
+            for g in grams:
+                total = sum(theta[x] * model[x][g] for x in chosen)
+                for x in chosen:
+                    new[x] += theta[x] * model[x][g] / total / len(grams)
+            moved = max(abs(new[x] - theta[x]) for x in chosen)
+            theta = new
+            if moved < 1e-5:
+                break
+        return theta, sum(math.log(sum(theta[x] * model[x][g] for x in chosen)) for g in grams)
+
+    theta, _ = mixture(names)
+    alone = {x: sum(math.log(model[x][g]) for g in grams) for x in names}
+    first = max(names, key=lambda x: alone[x])
+    order = [first, *sorted((x for x in names if x != first), key=lambda x: (-theta[x], x))]
+    price = penalty * math.log(len(grams) + 1)
+    best, shares = alone[first], {first: 1.0}
+    for n in range(2, len(order) + 1):
+        part, value = mixture(order[:n])
+        if value - price * (n - 1) > best:
+            best, shares = value - price * (n - 1), part
+    name = min(shares, key=lambda x: (-shares[x], x))
+    return name, theta[name]
+
+
+def test_rows_by_brute_force(spark):
+    """The query's rows on a small table, against a second implementation."""
+    rows = [(i, text(lang, 20, i) + (" " + text("fr", 12, i) if i % 3 == 0 else ""), lang if i % 7 else None) for i in range(16) for lang in ("en", "de")]
+    rows += [(50, None, "en"), (51, "12 ½", "en"), (52, "", "de"), (53, "zzz", "fr"), (54, text("fr", 30, 3), "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", langid_held_out())
+    got = {(r.doc_id, r.text_): (r.lang_pred, round(r.score, 3)) for r in identify(df.selectExpr("*", "text as text_"), fit(df.where("not held_out"))).collect()}
+    model = plain_model([(t, lang) for i, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2])
+    assert len(got) == len({(i, t) for i, t, _ in rows})
+    for (_, t), (name, score) in got.items():
+        want = plain_predict(model, t)
+        assert (name, score) == (want[0], pytest.approx(want[1], abs=0.002))
 
 
 def test_query_held_out_accuracy(spark, sf_dir):

@@ -97,7 +97,7 @@ def test_round_trip(spark, rows):
 
 def test_orc_files(spark, rows, tmp_path):
     path = f"file://{tmp_path}/orc"
-    write_token_orc(rows, path, BYTES, files=3)
+    write_token_orc(rows, path, BYTES, file_bytes=1000)
     stored = read_token_orc(spark, path).orderBy("pos").collect()
     assert [r.doc_id for r in stored] == [None, 1, 2, 3, 4, 4, 5, 6]
     assert all(r.ids[-1] == 0 for r in stored)
@@ -109,6 +109,56 @@ def test_orc_files(spark, rows, tmp_path):
     assert any(orc.ORCFile(f).nrows for f in tmp_path.glob("orc/*.orc"))
 
 
+def test_orc_files_are_indexed(spark, tmp_path):
+    """Integer run lengths, row groups and Bloom filters in the files, and nothing read for an id that they rule out."""
+    from pyspark.sql import functions as F
+
+    path = f"file://{tmp_path}/orc"
+    docs = spark.range(3000).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.lit("some words"), "id").alias("text"))
+    write_token_orc(docs, path, BYTES, file_bytes=30_000, rows_per_group=1000)
+    files = sorted(tmp_path.glob("orc/*.orc"))
+    assert len(files) == 2 or len(files) == 3
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    orc, bounds = jvm.org.apache.orc.OrcFile, []
+    for f in files:
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert (1, "ROW_INDEX") in kinds and (1, "BLOOM_FILTER_UTF8") in kinds
+            assert {footer.getColumns(c).getKind().toString() for c in (1, 2, 3, 4)} == {"DIRECT_V2"}
+        rows.close()
+        reader.close()
+    for r in read_token_orc(spark, path).groupBy(F.input_file_name().alias("f")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect():
+        bounds.append((r.a, r.b))
+    bounds.sort()
+    assert all(x[1] < y[0] for x, y in zip(bounds, bounds[1:], strict=False))
+
+    def scanned(ids):
+        df = find_documents(spark, path, ids)
+        assert df.count() == len([i for i in ids if i % 2 == 0 and 0 <= i < 6000])
+        plan = spark._jsparkSession.sessionState().executePlan(df._jdf.queryExecution().logical(), jvm.org.apache.spark.sql.execution.CommandExecutionMode.ALL()).executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    assert scanned([-5]) == 0  # by the stripes' statistics
+    assert scanned([3001]) == 0  # within a file's bounds: by the Bloom filter
+    assert scanned([3000]) == 1000  # one row group
+
+
+def test_number_of_files_follows_the_texts(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word ', 200) as text")
+    for size, low, high in ((1 << 30, 1, 1), (100_000, 4, 4), (20_000, 20, 20)):
+        path = f"{tmp_path}/{size}"
+        write_token_orc(docs, f"file://{path}", BYTES, file_bytes=size)
+        import os
+
+        assert low <= len([f for f in os.listdir(path) if f.endswith(".orc")]) <= high
+
+
 def test_orc_layout(spark, rows):
     got = sorted(map(tuple, token_digests(rows, BYTES).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
     at, want = 0, []
