@@ -96,10 +96,13 @@ class ItemAutomaton:
         for at in self.short.tolist():
             n = int(self.left[at])
             self.whole.setdefault(tuple(self.words[at : at + n].tolist()), []).append(int(self.owner[at]))
+        if window == 1:
+            for w, k in sorted(set(zip(self.words.tolist(), self.owner.tolist(), strict=True))):
+                self.whole.setdefault((w,), []).append(k)
         lengths = {len(w) for w in self.whole}
         self.singles = np.array(sorted(w[0] for w in self.whole if len(w) == 1), dtype=np.uint64)
         self.short_lengths = sorted(lengths - {1})
-        full = bool(len(self.left)) and bool((self.left >= window).any())
+        full = window > 1 and bool((self.left >= window).any())
         self.least = min([*self.short_lengths, *([window] if full else [])], default=0)
         self.hashes = _word_memo()
         self.seen: dict[bytes, list] = {}
