@@ -86,6 +86,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Shingles as texts, pairs by common shingles, components by the smallest id that spreads along links.
+OP2_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+cc(id, component) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT s.a, min(f.component) FROM cc f JOIN both_ways s ON s.b = f.id JOIN recurring.cc x ON x.id = s.a WHERE f.component < x.component GROUP BY s.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN cc ON id = doc_id
+"""
+
 #: Items and windows as word lists; a document's windows of each length that occurs among the items.
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -156,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_license_scan": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_ngram_join": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_license_scan": OP10_SQL}

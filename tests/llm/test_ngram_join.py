@@ -6,6 +6,8 @@ import pytest
 from graphloom.llm import ngram_join, queries
 from graphloom.llm.ngram_join import _pack, _unpack, keep_one, near_duplicates, shingle_set
 
+from ..conftest import same_rows
+
 
 def sets_of(rows, n=5):
     out = []
@@ -93,6 +95,38 @@ def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 50)
     rows = corpus(4, 40)
     assert run(spark, rows, bucket_bytes=200) == brute(rows)
+    assert run(spark, rows, bucket_bytes=200, max_partitions=3) == brute(rows)
+
+
+def test_orders_leave_fewer_pairs(spark):
+    """What each order's prefix filter lets through, and all three: every link, and fewer other pairs with each."""
+    import numpy as np
+
+    rng = random.Random(9)
+    common, vocabulary = [f"c{i}" for i in range(30)], [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(120):
+        at = rng.randrange(20)
+        texts.append(" ".join([rng.choice(vocabulary) for _ in range(rng.randint(25, 60))] + common[at : at + 10]))
+    texts += [t + f" end{k}" for k, t in enumerate(texts[:30])]
+    sets = [shingle_set(t) for t in texts]
+    count = {}
+    for s in sets:
+        for x in s.tolist():
+            count[x] = count.get(x, 0) + 1
+    prefixes = []
+    for s in sets:
+        shared = np.array([x for x in s.tolist() if count[x] > 1], dtype=np.uint64)
+        size = max(0, len(shared) - ngram_join.need(len(s), 75) + 1)
+        levels = np.array([int(np.log2(count[x]) * 8) for x in shared.tolist()], dtype=np.uint8)
+        first, second, third = ngram_join.orders(shared, levels, size)
+        prefixes.append([set(first[:size].tolist()), set(second.tolist()), set(third.tolist())])
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    linked = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    through = [{(a, b) for a, b in pairs if prefixes[a][k] & prefixes[b][k]} for k in range(3)]
+    assert len(linked) >= 25 and all(linked <= t for t in through)
+    every = through[0] & through[1] & through[2]
+    assert linked <= every and len(every) < len(through[0] & through[1]) <= min(map(len, through)) or len(through[0]) == len(linked)
 
 
 def test_keep_one(spark):
@@ -111,6 +145,23 @@ def test_packing():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a")) == 1
 
 
+def test_one_large_component(spark):
+    """A third of the rows in one group of exact copies, another in a chain of near copies: hot keys in every join."""
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(base)) for i in range(700)]
+    for i in range(700):
+        at = i // 2
+        rows.append((1000 + i, " ".join(f"k{at + j}" for j in range(100))))
+    rows += [(5000 + i, " ".join(f"u{i}v{j}" for j in range(12))) for i in range(700)]
+    got = run(spark, rows)
+    want = {i: 0 for i in range(700)} | {1000 + i: 1000 for i in range(700)} | {5000 + i: 5000 + i for i in range(700)}
+    assert {i: c for i, _, c in got} == want and len(got) == len(rows)
+
+
+def test_sql(spark, sf_dir, duck):
+    same_rows(queries.op2_ngram_join(spark, sf_dir), duck, queries.OP2_SQL)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op2_ngram_join(spark, sf_dir).collect()), key=repr) == brute(rows)

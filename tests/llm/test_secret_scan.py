@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import queries
 from graphloom.llm import secret_scan as S
@@ -15,8 +16,6 @@ def forest(spark):
 
 
 def feature_rows(spark, findings):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(findings, "before string, candidate string, after string, label int")
     cols = S.features(F.col("before"), F.col("candidate"), F.col("after"))
     return df.select("label", F.array(*cols).alias("x")).collect()
@@ -29,8 +28,6 @@ def test_held_out_findings(spark, forest):
 
 
 def test_expression_is_the_forest(spark, forest):
-    from pyspark.sql import functions as F
-
     findings = S.sample_findings(300, seed=5)
     rows = feature_rows(spark, findings)
     df = spark.createDataFrame([(r.x,) for r in rows], "x array<double>")
@@ -77,6 +74,37 @@ def test_query(spark, sf_dir, forest):
         assert r.redacted_sha256 == hashlib.sha256((out + text[at:]).encode()).hexdigest()
 
 
+def test_decisions_by_a_second_evaluation(spark, sf_dir, forest):
+    """Candidates split by Python's expressions and judged by walking the trees, against the query's rows."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = [(i, at, before, c, after) for i, t in docs.items() for at, before, c, after in S.split_text(t)]
+    df = spark.createDataFrame(found, "doc_id long, at int, before string, candidate string, after string")
+    rows = df.select("doc_id", "at", F.array(*S.features(F.col("before"), F.col("candidate"), F.col("after"))).alias("x")).collect()
+    want = {i: [] for i in docs}
+    for r in rows:
+        if forest.score(r.x) >= 0.5:
+            want[r.doc_id].append(r.at)
+    got = {r.doc_id: [int(x) for x in r.secret_starts.split(",") if x] for r in queries.op8_secret_scan(spark, sf_dir).collect()}
+    assert got == {i: sorted(x) for i, x in want.items()} and any(got.values())
+
+
+def test_rows_of_many_candidates(spark, forest):
+    """Work grows with the number of candidates, not with its square."""
+    import time
+
+    seconds = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"{k:08x}" * 3 for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = S.secret_report(df, forest).first()
+        seconds.append(time.perf_counter() - began)
+        assert r.n_candidates == n
+    scan = S.scan_secrets(df, forest).first().candidates
+    assert [c.start for c in scan] == [25 * k for k in range(16_000)]
+    assert seconds[1] < 10 * seconds[0]
+
+
 KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join([("Qa7" * 22)[:64]] * 12) + "\n-----END RSA PRIVATE KEY-----"
 
 
