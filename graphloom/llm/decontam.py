@@ -30,7 +30,6 @@ names are replaced.
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left, bisect_right
 
 import numpy as np

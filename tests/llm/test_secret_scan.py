@@ -77,6 +77,7 @@ def test_query(spark, sf_dir, forest):
 def test_decisions_by_a_second_evaluation(spark, sf_dir, forest):
     """Candidates split by Python's expressions and judged by walking the trees, against the query's rows."""
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    docs |= {10_000 + k: t + " and " + u for k, ((t, _, _), (u, _, _)) in enumerate(zip(S.sample_texts(300, 5), S.sample_texts(300, 6), strict=True))}
     found = [(i, at, before, c, after) for i, t in docs.items() for at, before, c, after in S.split_text(t)]
     df = spark.createDataFrame(found, "doc_id long, at int, before string, candidate string, after string")
     rows = df.select("doc_id", "at", F.array(*S.features(F.col("before"), F.col("candidate"), F.col("after"))).alias("x")).collect()
@@ -84,7 +85,7 @@ def test_decisions_by_a_second_evaluation(spark, sf_dir, forest):
     for r in rows:
         if forest.score(r.x) >= 0.5:
             want[r.doc_id].append(r.at)
-    got = {r.doc_id: [int(x) for x in r.secret_starts.split(",") if x] for r in queries.op8_secret_scan(spark, sf_dir).collect()}
+    got = {r.doc_id: [int(x) for x in r.secret_starts.split(",") if x] for r in S.secret_report(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), forest).collect()}
     assert got == {i: sorted(x) for i, x in want.items()} and any(got.values())
 
 
