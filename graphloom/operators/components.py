@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,49 +12,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.graph import PropertyGraph
-from graphloom.plans.superstep import Cancelled, iterate
+from graphloom.plans.superstep import Links, Loop, Numbered
 from graphloom.runtime import Scratch
 
 
-def contract_stars(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, check: Callable[[int], None] | None = None) -> DataFrame:
     """(id, component) of every end of ``edges`` (src, dst), component being the smallest id.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): each node
-    links its larger, then its smaller neighbours to the smallest node it knows.
-    The number of rounds is logarithmic for practical graphs, whatever their
-    diameter; the minimum is a partial aggregate and the join with it is an
-    equi-join that AQE can split, so a node with a third of all edges is no
-    bottleneck. Rounds are written to the shared folder to cut the lineage.
+    Local contraction (Lacki et al. 2018): in a round each vertex joins the vertex
+    of its neighbourhood, itself included, whose hash is smallest in that round;
+    edges then lead between what is left, and edges within go. A round leaves a
+    fraction of the vertices, whatever the graph's diameter, so the rounds are
+    logarithmic and their sizes add up to a few times the first. The hash makes
+    that so for any numbering, the sorted path included. The chain of joined
+    vertices is followed backwards at the end. The minimum is a partial
+    aggregate, and joins are equi-joins that adaptive planning can split, so a
+    vertex with a third of all edges is no bottleneck. Rounds are written.
 
     Direction, repeated edges and self-loops make no difference; null ends are
     ignored. An end that has self-loops only is a component of its own.
     """
     ends = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = scratch.table(ends, "ends")
+    e, joined, n = now.where("u <> v"), [], 1
+    while n:
+        if check:
+            check(len(joined))
+        order = lambda c, r=len(joined): F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("p"))
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least("m", order("u"))["p"].alias("p"))
+        to = scratch.table(least, "joined")
+        joined.append(to)
+        watch, before = Observation(), e
+        moved = e.join(to.select("u", F.col("p").alias("pu")), "u").join(to.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv")
+        moved = moved.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
+        e = scratch.table(moved.observe(watch, F.count(F.lit(1)).alias("n")), "edges")
+        n = watch.get["n"]
+        if len(joined) > 1:
+            scratch.drop(before)
+    root = joined.pop().select("u", F.col("p").alias("root"))
+    for to in reversed(joined):
+        root = to.join(root.select(F.col("u").alias("p"), "root"), "p", "left").select("u", F.coalesce("root", "p").alias("root"))
+    roots = scratch.table(root, "roots")
+    names = roots.groupBy("root").agg(F.min("u").alias("component"))
+    found = roots.join(names, "root").select(F.col("u").alias("id"), "component")
     loops = now.where("u = v").select("u")
-    e, seen = now.where("u <> v"), None
-    written = []
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = least.select("u", F.col("m").alias("v"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        watch = Observation()
-        whole = kept.union(moved).distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
-        e = scratch.table(whole, "stars")
-        written.append(e)
-        if watch.get == seen:
-            break
-        seen = watch.get
-        if len(written) > 1:
-            scratch.drop(written.pop(0))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    alone = loops.join(e.select("u").union(e.select("v")).distinct(), "u", "left_anti").select(F.col("u").alias("id"), F.col("u").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).union(alone)
+    alone = loops.join(roots, "u", "left_anti").select(F.col("u").alias("id"), F.col("u").alias("component"))
+    return found.union(alone)
+
+
+contract_stars = connected_components
 
 
 @dataclass(frozen=True)
@@ -68,82 +77,138 @@ class Components:
         return self.members.select("component").distinct().count()
 
 
-def weakly_connected_components(graph: PropertyGraph) -> Components:
+def weakly_connected_components(graph: PropertyGraph, cancelled=None, report=None) -> Components:
     """Components by edges of either direction; isolated vertices are their own."""
-    scratch = Scratch(graph.vertices.sparkSession, "wcc")
-    found = contract_stars(graph.edges, scratch)
-    members = graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return Components(graph, scratch.table(members, "members"), scratch)
+    loop = Loop(graph.vertices.sparkSession, "wcc", cancelled, report)
+    numbered = Numbered(graph, loop.scratch)
+    found = connected_components(numbered.edges, loop.scratch, loop.check)
+    members = numbered.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return Components(graph, numbered.named(loop.scratch.table(members, "members"), "id", "component"), loop.scratch)
 
 
-def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_000, cancelled=None) -> Components:
+def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_000, cancelled=None, report=None) -> Components:
     """Components whose vertices reach each other along edges.
 
-    Rounds of: trimming vertices without an incoming or outgoing edge;
-    colouring each vertex with the smallest vertex that reaches it; of each
-    colour, the vertices that reach its origin are one component. Edges between
-    components and colours go. Once at most ``local_edges`` edges are left they
-    are finished on the driver, which that number bounds.
+    Rounds of: trimming vertices without an incoming or outgoing edge; joining
+    chains of vertices with one edge in and one out into one edge, so that the
+    steps follow what branches, not the length of paths; colouring each vertex
+    with the smallest vertex that reaches it; of each colour, the vertices that
+    reach its origin are one component. Edges between components and colours go.
+    Once at most ``local_edges`` edges are left they are finished on the driver,
+    which that number bounds; with 0 everything stays distributed.
     """
-    spark = graph.vertices.sparkSession
-    scratch = Scratch(spark, "scc")
-    edges = scratch.table(graph.edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    found = None
+    loop = Loop(graph.vertices.sparkSession, "scc", cancelled, report)
+    scratch, numbered = loop.scratch, Numbered(graph, loop.scratch)
+    edges = scratch.table(numbered.edges.where("src <> dst").distinct(), "edges")
+    found, rounds = [], 0
+    chains: list[DataFrame] = []
     while True:
-        if cancelled and cancelled():
-            raise Cancelled("cancelled")
-        edges = _trim(edges, scratch)
-        left = edges.count()
+        loop.check(rounds)
+        rounds += 1
+        edges, left = _trim(edges, scratch)
+        if left > local_edges:
+            edges, chain, left = _without_chains(edges, scratch)
+            chains += chain
         if left == 0:
             break
         if left <= local_edges:
             rows = _tarjan([(r.src, r.dst) for r in edges.toLocalIterator()])
-            part = spark.createDataFrame(rows, T.StructType([T.StructField("id", edges.schema["src"].dataType), T.StructField("component", edges.schema["src"].dataType)]))
-            found = part if found is None else found.union(part)
+            found.append(scratch.table(loop.user.createDataFrame(rows, "id long, component long"), "local"))
             break
-        colour = _reach_min(edges, scratch)
+        colour = _reach_min(edges, loop)
         ends = edges.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
         inner = scratch.table(ends.where("cs = cd").select("src", "dst", F.col("cs").alias("c")), "inner")
-        part = scratch.table(_back(inner, colour, scratch), "part")
-        found = part if found is None else found.union(part)
+        part = _back(inner, colour, loop)
+        found.append(part)
         done = part.select("id")
         edges = scratch.table(inner.select("src", "dst").join(done, F.col("src") == F.col("id"), "left_anti").join(done, F.col("dst") == F.col("id"), "left_anti"), "edges")
-    ids = graph.vertices.select("id")
-    members = ids.select("id", F.col("id").alias("component")) if found is None else ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return Components(graph, scratch.table(members, "members"), scratch)
-
-
-def _trim(edges: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
+    known = found[0] if found else loop.user.createDataFrame([], "id long, component long")
+    for part in found[1:]:
+        known = known.union(part)
+    # A chain's inner vertices belong to a component if both its ends do, or if it leads from a vertex to itself.
+    for chain in reversed(chains):
+        a = known.select(F.col("id").alias("first"), F.col("component").alias("ca"))
+        b = known.select(F.col("id").alias("last"), F.col("component").alias("cb"))
+        inside = chain.join(a, "first", "left").join(b, "last", "left").where("first = last or ca = cb").select("id", F.coalesce("ca", "first").alias("component"), F.when(F.col("ca").isNull(), F.col("first")).alias("also"))
+        inside = scratch.table(inside, "inside")
+        ends = inside.where("also is not null").select(F.col("also").alias("id"), F.col("also").alias("component")).distinct()
+        known = scratch.table(known.union(inside.select("id", "component")).union(ends), "known")
+    least = known.groupBy("component").agg(F.min("id").alias("least"))
+    known = known.join(least, "component").select("id", F.col("least").alias("component"))
+    members = numbered.vertices.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return Components(graph, numbered.named(scratch.table(members, "members"), "id", "component"), scratch)
+
+
+def _trim(edges: DataFrame, scratch: Scratch, rounds: int = 4) -> tuple[DataFrame, int]:
+    """Edges without those at vertices that nothing enters or nothing leaves, a few layers of them, and their number."""
+    before = -1
     for _ in range(rounds):
-        before = edges.count()
         both = edges.select(F.col("src").alias("id")).distinct().intersect(edges.select(F.col("dst").alias("id")).distinct())
-        edges = scratch.table(edges.join(both, F.col("src") == F.col("id"), "left_semi").join(both, F.col("dst") == F.col("id"), "left_semi"), "trimmed")
-        if edges.count() == before:
+        watch = Observation()
+        kept = edges.join(both, F.col("src") == F.col("id"), "left_semi").join(both, F.col("dst") == F.col("id"), "left_semi")
+        edges = scratch.table(kept.observe(watch, F.count(F.lit(1)).alias("n")), "trimmed")
+        n = watch.get["n"]
+        if n in (before, 0):
             break
-    return edges
+        before = n
+    return edges, n
+
+
+def _without_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame], int]:
+    """Edges with chains joined into single ones, what was taken out as (id, first, last), and the edges' number.
+
+    A vertex with one edge in and one out is taken out, if its hash is smaller
+    than that of its predecessor or that one is no such vertex: no two
+    neighbours go at once, and about a third of a chain goes in a round.
+    """
+    taken: list[DataFrame] = []
+    while True:
+        r = len(taken)
+        ins = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first")).where("n = 1 ").select("id", "first")
+        outs = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("last")).where("n = 1").select("id", "last")
+        inner = scratch.table(ins.join(outs, "id").where("first <> id and last <> id"), "inner")
+        hash_ = lambda c: F.struct(F.xxhash64(c, F.lit(r)), F.col(c))
+        marks = inner.select(F.col("id").alias("mark"))
+        before = inner.join(marks, F.col("first") == F.col("mark"), "left").withColumn("ok1", F.col("mark").isNull() | (hash_("id") < hash_("first"))).drop("mark")
+        both = before.join(marks, F.col("last") == F.col("mark"), "left").withColumn("ok2", F.col("mark").isNull() | (hash_("id") < hash_("last")))
+        watch = Observation()
+        out = scratch.table(both.where("ok1 and ok2").select("id", "first", "last").observe(watch, F.count(F.lit(1)).alias("n")), "chain")
+        if watch.get["n"] == 0:
+            return edges, taken, edges.count()
+        taken.append(out)
+        gone = out.select("id")
+        rest = edges.join(gone, F.col("src") == F.col("id"), "left_anti").join(gone, F.col("dst") == F.col("id"), "left_anti")
+        # A chain that leads from a vertex to itself needs no edge: its members are known by that.
+        edges = scratch.table(rest.union(out.where("first <> last").select("first", "last")).distinct(), "edges")
 
 
-def _reach_min(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _reach_min(edges: DataFrame, loop: Loop) -> DataFrame:
     """(id, c): the smallest vertex from which each vertex can be reached."""
-    state = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")).withColumn("new", F.lit(True))
+    links = Links(loop, edges)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    state = loop.laid(loop.taken(ends.withColumn("c", F.col("id")).withColumn("new", F.lit(True))), "id")
 
     def step(now: DataFrame, _: dict) -> DataFrame:
-        sent = edges.join(now.where("new").select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        sent = links.reach(now.where("new").select("id", "c")).groupBy("id").agg(F.min("c").alias("m"))
         return now.join(sent, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("new"))
 
-    return iterate(scratch, scratch.table(state, "colour"), step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, 1 << 30)[0].select("id", "c")
+    done = loop.iterate(state, step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, sys.maxsize)[0]
+    links.close()
+    return loop.given(done.select("id", "c"), "colour")
 
 
-def _back(inner: DataFrame, colour: DataFrame, scratch: Scratch) -> DataFrame:
+def _back(inner: DataFrame, colour: DataFrame, loop: Loop) -> DataFrame:
     """(id, component) of the vertices that reach their colour's origin within the colour."""
-    state = colour.select("id", "c", (F.col("id") == F.col("c")).alias("hit"), (F.col("id") == F.col("c")).alias("new"))
+    links = Links(loop, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    state = loop.laid(loop.taken(colour.select("id", "c", (F.col("id") == F.col("c")).alias("hit"), (F.col("id") == F.col("c")).alias("new"))), "id")
 
     def step(now: DataFrame, _: dict) -> DataFrame:
-        sent = inner.join(now.where("new").select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().withColumn("sent", F.lit(True))
+        sent = links.reach(now.where("new").select("id")).distinct().withColumn("sent", F.lit(True))
         return now.join(sent, "id", "left").select("id", "c", (F.col("hit") | F.col("sent").isNotNull()).alias("hit"), (~F.col("hit") & F.col("sent").isNotNull()).alias("new"))
 
-    done = iterate(scratch, scratch.table(state, "back"), step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, 1 << 30)[0]
-    return done.where("hit").select("id", F.col("c").alias("component"))
+    done = loop.iterate(state, step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, sys.maxsize)[0]
+    links.close()
+    return loop.given(done.where("hit").select("id", F.col("c").alias("component")), "part")
 
 
 def _tarjan(edges: list[tuple]) -> list[tuple]:

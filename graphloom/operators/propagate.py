@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.values import label_list, label_text
 from graphloom.graph import GraphError, PropertyGraph
-from graphloom.plans.superstep import Cancelled, iterate
+from graphloom.plans.superstep import Links, Loop, Numbered
 from graphloom.runtime import Scratch
 
 DEFAULT_SUPERSTEPS = 64
-#: Attribute propagation writes what it knows as one table after so many steps.
-COMPACT_STEPS = 16
 #: The start label that stands for the vertex id.
 ID_LABEL = "@id"
 
@@ -46,20 +44,17 @@ def _start(graph: PropertyGraph, attribute: str, make: Callable) -> DataFrame:
     return graph.vertices.select("id", make(F.col(column), graph.vertices.schema[column].dataType).alias("label"))
 
 
-def _bag(graph: PropertyGraph) -> DataFrame:
-    """(id, nbr, times): neighbours by edges of either direction, counted."""
-    both = graph.symmetrised()
-    return both.groupBy(F.col("src").alias("id"), F.col("dst").alias("nbr")).agg(F.count(F.lit(1)).alias("times"))
+def _bag(edges: DataFrame) -> DataFrame:
+    """(src, dst, times): from each vertex to its neighbours by edges of either direction, counted."""
+    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
+    return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _winners(bag: DataFrame, labels: DataFrame, tie) -> DataFrame:
-    """(id, won): each vertex's most frequent neighbouring label, ties by the smallest ``tie``."""
-    votes = bag.join(labels.select(F.col("id").alias("nbr"), "label"), "nbr").groupBy("id", "label").agg(F.sum("times").alias("n"))
-    return votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), tie, F.col("label"))).alias("won"))
-
-
-def _vote(bag: DataFrame, state: DataFrame, tie, only=None) -> DataFrame:
-    winners = _winners(bag if only is None else bag.where(only), state, tie)
+def _vote(links: Links, state: DataFrame, tie, only=None) -> DataFrame:
+    """``state`` with each vertex's most frequent neighbouring label, ties by the smallest ``tie``, and if that is another."""
+    heard = links.reach(state.select("id", "label"))
+    votes = (heard if only is None else heard.where(only)).groupBy("id", "label").agg(F.sum("times").alias("n"))
+    winners = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), tie, F.col("label"))).alias("won"))
     moved = F.coalesce(F.col("won") != F.col("label"), F.lit(False))
     return state.join(winners, "id", "left").select("id", F.coalesce("won", "label").alias("label"), moved.alias("moved"))
 
@@ -72,8 +67,8 @@ def label_propagation(
     random_tiebreak: bool = False,
     seed: int = 1,
     sequential_edges: int = 200_000,
-    batches: int = 8,
     cancelled=None,
+    report=None,
 ) -> Labels:
     """Communities by the most frequent label among neighbours of either direction.
 
@@ -85,20 +80,24 @@ def label_propagation(
     random order each step; no two vertices of a class are neighbours, so a class
     that moves at once is the same as its vertices one by one. Graphs of at most
     ``sequential_edges`` edges do it on the driver, with the same result.
-    ``batches`` has no effect any more: the classes take its place. Stops when no
-    label changes.
+    Stops when no label changes.
     """
+    loop = Loop(graph.vertices.sparkSession, "labels", cancelled, report)
     start = _start(graph, start_label, label_text)
-    scratch = Scratch(graph.vertices.sparkSession, "labels")
-    bag = scratch.table(_bag(graph), "bag")
+    numbered = Numbered(graph, loop.scratch)
+    state = numbered.of(start)
     if not synchronous:
         run = _one_by_one if graph.edge_count <= sequential_edges else _by_colour
-        return run(graph, bag, start, supersteps, random_tiebreak, seed, scratch, cancelled)
+        labels, steps = run(numbered, state, supersteps, random_tiebreak, seed, loop)
+        return Labels(numbered.named(labels), steps, loop.scratch)
+    links = Links(loop, _bag(numbered.edges))
     tie_of = (lambda step: F.xxhash64("id", "label", F.lit(step), F.lit(seed))) if random_tiebreak else (lambda step: F.lit(0))
-    state = scratch.table(start.withColumn("moved", F.lit(False)), "labels")
+    state = loop.laid(loop.taken(state.withColumn("moved", F.lit(False))), "id")
     count = iter(range(supersteps))
-    final, steps = iterate(scratch, state, lambda s, _: _vote(bag, s.drop("moved"), tie_of(next(count))), {"moved": F.count_if("moved")}, lambda m: m["moved"] == 0, supersteps, None, cancelled)
-    return Labels(final.select("id", "label"), steps, scratch)
+    final, steps = loop.iterate(state, lambda s, _: _vote(links, s.drop("moved"), tie_of(next(count))), {"moved": F.count_if("moved")}, lambda m: m["moved"] == 0, supersteps)
+    labels = loop.given(final.select("id", "label"))
+    links.close()
+    return Labels(numbered.named(labels), steps, loop.scratch)
 
 
 def _priority(seed: int, column: str):
@@ -111,49 +110,60 @@ def _class_order(classes: int, step: int, seed: int) -> list[int]:
     return order
 
 
-def _colours(bag: DataFrame, seed: int, scratch: Scratch, cancelled) -> DataFrame:
+def _colours(bag: DataFrame, seed: int, loop: Loop) -> DataFrame:
     """(id, colour): each vertex's smallest colour that no neighbour of smaller priority has."""
-    waits = scratch.table(bag.where("id <> nbr").where(_priority(seed, "nbr") < _priority(seed, "id")).select("id", "nbr"), "waits")
-    start = scratch.table(bag.select("id").distinct().withColumn("colour", F.lit(None).cast("int")), "colours")
+    earlier = bag.where("src <> dst").where(_priority(seed, "src") < _priority(seed, "dst"))
+    links = Links(loop, earlier.select("src", "dst"))
+    waits = earlier.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits"))
+    start = bag.select(F.col("src").alias("id")).distinct().join(waits, "id", "left")
+    # A vertex counts the neighbours that it waits for, and keeps the colours that it heard of.
+    start = start.select("id", F.lit(None).cast("int").alias("colour"), F.coalesce("waits", F.lit(0)).cast("long").alias("waits"), F.array().cast("array<int>").alias("used"), F.lit(False).alias("new"))
+    state = loop.laid(loop.taken(start), "id")
 
     def step(state: DataFrame, _: dict) -> DataFrame:
-        open_ids = state.where("colour is null").select("id")
-        before = waits.join(open_ids, "id").join(state.select(F.col("id").alias("nbr"), F.col("colour").alias("theirs")), "nbr")
-        seen = before.groupBy("id").agg(F.bool_or(F.col("theirs").isNull()).alias("early"), F.collect_set("theirs").alias("used"))
-        used = F.coalesce("used", F.array().cast("array<int>"))
+        heard = links.reach(state.where("new").select("id", F.col("colour").alias("theirs")))
+        heard = heard.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("theirs").alias("theirs"))
+        left = F.col("waits") - F.coalesce("n", F.lit(0))
+        used = F.array_union("used", F.coalesce("theirs", F.array().cast("array<int>")))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        return state.join(seen, "id", "left").select("id", F.coalesce("colour", F.when(~F.coalesce("early", F.lit(False)), free)).alias("colour"))
+        now = F.when(F.col("colour").isNull() & (left == 0), free)
+        return state.join(heard, "id", "left").select("id", F.coalesce("colour", now).alias("colour"), left.alias("waits"), used.alias("used"), now.isNotNull().alias("new"))
 
-    return iterate(scratch, start, step, {"left": F.count_if(F.col("colour").isNull())}, lambda m: m["left"] == 0, sys.maxsize, None, cancelled)[0]
+    found = loop.iterate(state, step, {"left": F.count_if(F.col("colour").isNull())}, lambda m: m["left"] == 0, sys.maxsize)[0]
+    links.close()
+    return loop.given(found.select("id", "colour"), "colours")
 
 
-def _by_colour(graph: PropertyGraph, bag: DataFrame, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, scratch: Scratch, cancelled) -> Labels:
-    colours = _colours(bag, seed, scratch, cancelled)
-    classes = (colours.agg(F.max("colour")).first()[0] if graph.edge_count else -1) + 1
-    parts = scratch.table(bag.join(colours, "id"), "parts")
-    state, steps = scratch.table(start, "labels"), 0
+def _by_colour(numbered: Numbered, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, loop: Loop) -> tuple[DataFrame, int]:
+    bag = loop.scratch.table(_bag(numbered.edges), "bag")
+    colours = _colours(bag, seed, loop)
+    classes = (colours.agg(F.max("colour")).first()[0] if not colours.isEmpty() else -1) + 1
+    links = Links(loop, bag.join(colours.withColumnRenamed("id", "dst"), "dst").select("src", "dst", "times", "colour"))
+    state, steps = loop.laid(loop.taken(start), "id"), 0
     while steps < supersteps:
         moved = 0
         for k in _class_order(classes, steps, seed):
-            if cancelled and cancelled():
-                raise Cancelled(f"cancelled after {steps} supersteps")
+            loop.check(steps)
             tie = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(str(steps)), F.col("id").cast("string"), "label")) if random_tiebreak else F.lit(0)
             watch, old = Observation(), state
-            state = scratch.table(_vote(parts, old.select("id", "label"), tie, F.col("colour") == k).observe(watch, F.count_if("moved").alias("moved")), "step")
+            state = loop.cut(_vote(links, old.select("id", "label"), tie, F.col("colour") == k).observe(watch, F.count_if("moved").alias("moved")))
             moved += watch.get["moved"]
-            scratch.drop(old)
+            loop.drop(old)
         steps += 1
         if moved == 0:
             break
-    return Labels(state.select("id", "label"), steps, scratch)
+    labels = loop.given(state.select("id", "label"))
+    links.close()
+    return labels, steps
 
 
-def _one_by_one(graph: PropertyGraph, bag: DataFrame, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, scratch: Scratch, cancelled) -> Labels:
+def _one_by_one(numbered: Numbered, start: DataFrame, supersteps: int, random_tiebreak: bool, seed: int, loop: Loop) -> tuple[DataFrame, int]:
     """``_by_colour`` on the driver."""
     near: dict = {}
+    bag = loop.scratch.table(_bag(numbered.edges), "bag")
     for r in bag.toLocalIterator():
-        near.setdefault(r.id, []).append((r.nbr, r.times))
-    ends = start.join(bag.select("id").distinct(), "id").select("id", "label", F.col("id").cast("string").alias("text"), _priority(seed, "id").alias("priority"))
+        near.setdefault(r.src, []).append((r.dst, r.times))
+    ends = start.join(bag.select(F.col("src").alias("id")).distinct(), "id").select("id", "label", F.col("id").cast("string").alias("text"), _priority(seed, "id").alias("priority"))
     rows = sorted(ends.toLocalIterator(), key=lambda r: r.priority)
     labels, text, colour = {r.id: r.label for r in rows}, {r.id: r.text for r in rows}, {}
     members: list[list] = []
@@ -165,8 +175,7 @@ def _one_by_one(graph: PropertyGraph, bag: DataFrame, start: DataFrame, superste
         members[colour[v]].append(v)
     steps = 0
     while steps < supersteps:
-        if cancelled and cancelled():
-            raise Cancelled(f"cancelled after {steps} supersteps")
+        loop.check(steps)
         changed = False
         for k in _class_order(len(members), steps, seed):
             for v in members[k]:
@@ -182,18 +191,16 @@ def _one_by_one(graph: PropertyGraph, bag: DataFrame, start: DataFrame, superste
         steps += 1
         if not changed:
             break
-    spark = graph.vertices.sparkSession
-    kind = graph.vertices.schema["id"].dataType.simpleString()
-    made = spark.createDataFrame(list(labels.items()), f"id {kind}, new string")
-    return Labels(scratch.table(start.join(made, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels"), steps, scratch)
+    made = loop.user.createDataFrame(list(labels.items()), "id long, new string")
+    return loop.scratch.table(start.join(made, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels"), steps
 
 
-def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: int | None = None, backwards: bool = False, synchronous: bool = True, cancelled=None) -> Labels:
+def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: int | None = None, backwards: bool = False, synchronous: bool = True, cancelled=None, report=None) -> Labels:
     """The set of labels that reach each vertex along edges (or against them).
 
-    Null, empty strings and empty lists are no labels; a list gives several.
-    Rows are (vertex, label) pairs until the end, and a step sends only pairs
-    that the step before added. Stops when nothing is added, or at a limit of
+    Null, empty strings and empty lists are no labels; a list gives several. A
+    vertex keeps the labels it has and those that the step before added, and
+    sends only the latter. Stops when nothing is added, or at a limit of
     ``supersteps``: if none is given, 64 for the synchronous form and none for
     the asynchronous one, which has the same fixpoint and may reach it in fewer
     steps of its own. With a limit both make that many of these steps.
@@ -202,35 +209,29 @@ def attribute_propagation(graph: PropertyGraph, start_label: str, supersteps: in
     if supersteps is None:
         supersteps = DEFAULT_SUPERSTEPS if synchronous else sys.maxsize
     start = _start(graph, start_label, label_list)
-    scratch = Scratch(graph.vertices.sparkSession, "attributes")
+    loop = Loop(graph.vertices.sparkSession, "attributes", cancelled, report)
+    numbered = Numbered(graph, loop.scratch)
     src, dst = ("dst", "src") if backwards else ("src", "dst")
-    edges = scratch.table(graph.edges.where("src <> dst").select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges")
-    known = scratch.table(start.select("id", F.explode("label").alias("label")), "known")
-    new, steps, settled = known, 0, False
-    pieces = [known]
-    while steps < supersteps:
-        if cancelled and cancelled():
-            raise Cancelled(f"cancelled after {steps} supersteps")
-        sent = edges.join(new.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label").distinct()
-        new = scratch.table(sent.join(known, ["id", "label"], "left_anti"), "new")
-        steps += 1
-        if new.isEmpty():
-            settled = True
-            break
-        known = known.union(new)
-        pieces.append(new)
-        if len(pieces) > COMPACT_STEPS:
-            # The plan would grow with each step of a deep graph; the last piece is still sent.
-            known = scratch.table(known, "known")
-            for old in pieces[:-1]:
-                scratch.drop(old)
-            pieces = [known]
+    links = Links(loop, numbered.edges.where("src <> dst").select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    none = F.array().cast("array<string>")
+    state = numbered.of(start).select("id", F.coalesce("label", none).alias("labels"), F.coalesce("label", none).alias("fresh"))
+    state = loop.laid(loop.taken(state), "id")
+
+    def sent(state: DataFrame) -> DataFrame:
+        rows = links.reach(state.where(F.size("fresh") > 0).select("id", "fresh"))
+        return rows.select("id", F.explode("fresh").alias("label")).groupBy("id").agg(F.collect_set("label").alias("heard"))
+
+    def step(state: DataFrame, _: dict) -> DataFrame:
+        fresh = F.array_except(F.coalesce("heard", none), "labels")
+        both = state.join(sent(state), "id", "left").select("id", "labels", fresh.alias("fresh"))
+        return both.select("id", F.when(F.size("fresh") > 0, F.concat("labels", "fresh")).otherwise(F.col("labels")).alias("labels"), "fresh")
+
+    added = {"added": F.count_if(F.size("fresh") > 0)}
+    state, steps = loop.iterate(state, step, added, lambda m: m["added"] == 0, supersteps)
+    # What is left to send may add nothing.
+    settled = state.where(F.size("fresh") > 0).isEmpty() or step(state, {}).where(F.size("fresh") > 0).isEmpty()
     if not settled:
-        # What is left to send may add nothing.
-        sent = edges.join(new.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label")
-        settled = sent.join(known, ["id", "label"], "left_anti").isEmpty()
-        if not settled:
-            warnings.warn(f"attribute propagation stopped at its limit of {supersteps} supersteps before it settled", stacklevel=2)
-    sets = known.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    out = graph.vertices.select("id").join(sets, "id", "left").select("id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
-    return Labels(out, steps, scratch, settled)
+        warnings.warn(f"attribute propagation stopped at its limit of {supersteps} supersteps before it settled", stacklevel=2)
+    labels = loop.given(state.select("id", F.array_sort("labels").alias("labels")))
+    links.close()
+    return Labels(numbered.named(labels), steps, loop.scratch, settled)

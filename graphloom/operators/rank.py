@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.values import reciprocal
 from graphloom.graph import COLLECTION, PropertyGraph
-from graphloom.plans.superstep import iterate
+from graphloom.plans.superstep import Links, Loop, Numbered
 from graphloom.runtime import Scratch
 
 TOLERANCE = 1e-7
@@ -30,40 +29,43 @@ class Ranks:
         return max(self.steps - 1, 0)
 
 
-def _power_iteration(graph: PropertyGraph, base: DataFrame, supersteps: int, damping: float, cancelled: Callable[[], bool] | None) -> Ranks:
-    """``base`` is (id, base): the start rank and, times 1 - damping, the part that needs no edge."""
-    scratch = Scratch(graph.vertices.sparkSession, "rank")
-    degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    # One row for each distinct edge: what it passes on of its source's rank.
-    links = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(degrees, "src").select("src", "dst", (F.col("times") * damping / F.col("out")).alias("part"))
-    # Dealt by source once and kept, so that no superstep moves edges; the written table is what it is made from.
-    links = scratch.table(links, "links").repartition("src").persist()
-    first = base.join(degrees, base["id"] == degrees["src"], "left").select("id", "base", F.col("out").isNull().alias("sink"), F.col("base").alias("rank"), F.lit(0.0).alias("moved"))
-    first = scratch.table(first, "ranks")
-    n, mass = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+def _power_iteration(graph: PropertyGraph, base, supersteps: int, damping: float, loop: Loop) -> Ranks:
+    """``base`` makes (id, base) of a numbered graph: the start rank and, times 1 - damping, the part that needs no edge."""
+    numbered = Numbered(graph, loop.scratch)
+    links = Links(loop, numbered.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    starts = loop.taken(base(numbered)).repartition(loop.parts, "id").sortWithinPartitions("id")
+    # What a vertex passes on along each of its links, for a rank of 1; null for sinks.
+    first = starts.join(links.degrees("out"), "id", "left").select("id", "base", (F.lit(damping) / F.col("out")).alias("part"), F.col("base").alias("rank"), F.lit(0.0).alias("moved"))
+    watch = Observation()
+    lost = F.coalesce(F.sum(F.when(F.col("part").isNull(), F.col("rank"))), F.lit(0.0))
+    first = loop.cut(first.observe(watch, F.count(F.lit(1)).alias("n"), lost.alias("sinks")))
+    n = watch.get["n"]
 
     def step(state: DataFrame, seen: dict) -> DataFrame:
-        gathered = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("part") * F.col("rank")).alias("sum"))
+        passed = state.where("part is not null").select("id", (F.col("part") * F.col("rank")).alias("passed"))
+        gathered = links.reach(passed).groupBy("id").agg(F.sum(F.col("times") * F.col("passed")).alias("sum"))
         share = damping * (seen["sinks"] or 0.0) / max(n, 1)
         rank = (1 - damping) * F.col("base") + F.coalesce("sum", F.lit(0.0)) + F.lit(share)
-        return state.join(gathered, "id", "left").select("id", "base", "sink", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
+        return state.join(gathered, "id", "left").select("id", "base", "part", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
 
-    metrics = {"moved": F.max("moved"), "sinks": F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0))}
-    state, steps = iterate(scratch, first, step, metrics, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps, {"sinks": mass}, cancelled)
-    links.unpersist()
-    return Ranks(state.select("id", "rank"), steps, scratch)
+    metrics = {"moved": F.max("moved"), "sinks": lost}
+    state, steps = loop.iterate(first, step, metrics, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps, {"sinks": watch.get["sinks"]})
+    ranks = loop.given(state.select("id", "rank"))
+    links.close()
+    return Ranks(numbered.named(ranks), steps, loop.scratch)
 
 
-def page_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, cancelled=None) -> Ranks:
+def page_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, cancelled=None, report=None) -> Ranks:
     """PageRank; parallel edges count, and sinks spread their rank over all vertices.
 
     Stops when no rank moves by 1e-7 or after ``supersteps`` steps.
     """
     n = max(graph.vertex_count, 1)
-    return _power_iteration(graph, graph.vertices.select("id", F.lit(1.0 / n).alias("base")), supersteps, damping, cancelled)
+    loop = Loop(graph.vertices.sparkSession, "rank", cancelled, report)
+    return _power_iteration(graph, lambda g: g.vertices.withColumn("base", F.lit(1.0 / n)), supersteps, damping, loop)
 
 
-def i_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, collection: str = COLLECTION, cancelled=None) -> Ranks:
+def i_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, collection: str = COLLECTION, cancelled=None, report=None) -> Ranks:
     """PageRank whose start and base are one over the size of the vertex's collection.
 
     Ranks add up to the number of collections. Sinks still spread over all vertices.
@@ -71,30 +73,39 @@ def i_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, co
     column = graph.require(collection)
     sizes = graph.vertices.groupBy(F.col(column).alias("_c")).agg((1.0 / F.count(F.lit(1))).alias("base"))
     base = graph.vertices.join(sizes, F.col(column).eqNullSafe(F.col("_c"))).select("id", "base")
-    return _power_iteration(graph, base, supersteps, damping, cancelled)
+    loop = Loop(graph.vertices.sparkSession, "rank", cancelled, report)
+    return _power_iteration(graph, lambda g: g.of(base), supersteps, damping, loop)
 
 
-def line_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, cancelled=None) -> Ranks:
+def line_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, cancelled=None, report=None) -> Ranks:
     """Rank of vertices by a walk over edges; a self-loop counts twice for its vertex.
 
-    An edge passes its value on to the edges that leave its target. All edges
-    with the same ends have the same value, so one row stands for them.
+    An edge passes its value on to the edges that leave its target, so all edges
+    into a vertex have one value, which is kept with the vertex: it follows from
+    the values of the vertices that its edges lead to.
     """
-    scratch = Scratch(graph.vertices.sparkSession, "linerank")
+    loop = Loop(graph.vertices.sparkSession, "linerank", cancelled, report)
+    numbered = Numbered(graph, loop.scratch)
     m = max(graph.edge_count, 1)
-    degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    kinds = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    start = kinds.join(degrees.withColumnRenamed("src", "dst"), "dst", "left").select("src", "dst", "times", reciprocal(F.coalesce("out", F.lit(0))).alias("norm"), F.lit(1.0 / m).alias("value"), F.lit(0.0).alias("moved"))
-    start = scratch.table(start, "edges")
+    kinds = numbered.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    links = Links(loop, kinds.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "times"))
+    vertices = loop.taken(numbered.vertices).repartition(loop.parts, "id").sortWithinPartitions("id")
+    outs = links.few if links.many is None else links.few.union(links.many)
+    outs = outs.groupBy(F.col("dst").alias("id")).agg(F.sum("times").alias("out"))
+    start = vertices.join(outs, "id", "left").join(links.degrees("in"), "id", "left")
+    start = start.select("id", reciprocal(F.coalesce("out", F.lit(0))).alias("norm"), F.coalesce("in", F.lit(0)).alias("in"), F.lit(1.0 / m).alias("value"), F.lit(0.0).alias("moved"))
+    start = loop.cut(start)
+
+    def leaving(state: DataFrame) -> DataFrame:
+        return links.reach(state.select("id", "value")).groupBy("id").agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
 
     def step(state: DataFrame, seen: dict) -> DataFrame:
-        # An edge's value depends on what leaves its target, so edges without a follower drop out of the join.
-        leaving = state.groupBy(F.col("src").alias("dst")).agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
         value = F.coalesce(F.lit(damping) * F.col("sum") * F.col("norm"), F.lit(0.0)) + F.lit((1 - damping) / m)
-        return state.join(leaving, "dst", "left").select("src", "dst", "times", "norm", value.alias("value"), F.abs(value - F.col("value")).alias("moved"))
-
-    state, steps = iterate(scratch, start, step, {"moved": F.max("moved")}, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps, None, cancelled)
-    weight = (F.col("times") * F.col("value")).alias("x")
-    ends = state.select(F.col("src").alias("id"), weight).union(state.select(F.col("dst").alias("id"), weight)).groupBy("id").agg(F.sum("x").alias("x"))
-    ranks = graph.vertices.select("id").join(ends, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("rank"))
-    return Ranks(ranks, steps, scratch)
+        moved = F.when(F.col("in") > 0, F.abs(value - F.col("value"))).otherwise(0.0)
+        return state.join(leaving(state), "id", "left").select("id", "norm", "in", value.alias("value"), moved.alias("moved"))
+
+    state, steps = loop.iterate(start, step, {"moved": F.max("moved")}, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps)
+    rank = F.coalesce("sum", F.lit(0.0)) + F.col("in") * F.col("value")
+    ranks = loop.given(state.join(leaving(state), "id", "left").select("id", rank.alias("rank")))
+    links.close()
+    return Ranks(numbered.named(ranks), steps, loop.scratch)

@@ -165,7 +165,7 @@ def q_label_async(spark, d):
 
 
 def q_label_async_batched(spark, d):
-    return label_propagation(users(spark, d), "label", 2, synchronous=False, sequential_edges=0, batches=3).labels
+    return label_propagation(users(spark, d), "label", 2, synchronous=False, sequential_edges=0).labels
 
 
 def q_attribute_forward(spark, d):

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from graphloom.graph import PropertyGraph
+from graphloom.operators import components
 from graphloom.operators.components import aggregate_components, strongly_connected_components, weakly_connected_components
 
 
@@ -65,3 +66,45 @@ def test_aggregation_of_json(spark):
     c = weakly_connected_components(g)
     assert aggregate_components(c, "doc").first().aggregation == {"x": 1}
     assert aggregate_components(c, "doc", "k").first().aggregation == {"x": 1}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_chains_without_the_driver(spark, seed):
+    """Long cycles, paths and chains between components, against the local algorithm."""
+    r = random.Random(seed)
+    edges, n = [], 0
+    for size in (40, 3, 2):
+        edges += [(n + i, n + (i + 1) % size) for i in range(size)]
+        n += size
+    edges += [(n + i, n + i + 1) for i in range(60)]  # a path
+    for _ in range(6):  # chains from anywhere to anywhere
+        size, a, b = r.randint(1, 12), r.randrange(n), r.randrange(n)
+        inner = range(n + 100, n + 100 + size)
+        edges += list(zip([a, *inner], [*inner, b], strict=True))
+        n += 120
+    edges += [(r.randrange(45), r.randrange(45)) for _ in range(6)]
+    names = r.sample(range(10_000), 3000)
+    edges = [(names[a], names[b]) for a, b in edges]
+    ids = sorted({x for e in edges for x in e})
+    g = PropertyGraph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long"))
+    want = {i: i for i in ids} | dict(components._tarjan(edges))
+    assert {x.id: x.component for x in strongly_connected_components(g, local_edges=0).members.collect()} == want
+    assert {x.id: x.component for x in strongly_connected_components(g).members.collect()} == want
+
+
+def test_sorted_path_takes_few_rounds(spark):
+    rounds = []
+    g = PropertyGraph(spark.range(3000), spark.range(2999).selectExpr("id as src", "id + 1 as dst"))
+    assert weakly_connected_components(g, report=rounds.append).count == 1
+    assert len(rounds) < 14
+
+
+def test_cancelled_between_rounds(spark):
+    from graphloom.plans.superstep import Cancelled
+
+    g = PropertyGraph(spark.range(300), spark.range(299).selectExpr("id as src", "id + 1 as dst"))
+    calls = iter([False, True])
+    with pytest.raises(Cancelled):
+        weakly_connected_components(g, cancelled=lambda: next(calls))
+    with pytest.raises(Cancelled):
+        strongly_connected_components(g, cancelled=lambda: True)

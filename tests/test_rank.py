@@ -72,3 +72,39 @@ def test_linerank(spark, ids, edges, want, last):
     got = ranks(r)
     assert r.last_step == last
     assert all(math.isclose(got[i], w, abs_tol=1e-9) for i, w in zip(ids, want, strict=True))
+
+
+def test_hubs_make_no_difference(spark, monkeypatch):
+    """Links of vertices with many are dealt apart; ranks, labels and attributes stay the same."""
+    from graphloom.operators.propagate import attribute_propagation, label_propagation
+    from graphloom.plans import superstep
+
+    edges = [("hub", f"v{i}") for i in range(40)] + [(f"v{i}", "hub") for i in range(0, 40, 3)] + [(f"v{i}", f"v{(i * 7) % 40}") for i in range(40)]
+    ids = ["hub", *(f"v{i}" for i in range(40)), "alone"]
+    g = PropertyGraph.create(spark, ids, edges, tag=[i if len(i) == 2 else None for i in ids])
+
+    def everything():
+        out = [{r.id: round(r.rank, 12) for r in f(g).ranks.collect()} for f in (page_rank, line_rank)]
+        out.append({r.id: r.label for r in label_propagation(g, "@id", 3).labels.collect()})
+        out.append({r.id: r.labels for r in attribute_propagation(g, "tag").labels.collect()})
+        return out
+
+    plain = everything()
+    monkeypatch.setattr(superstep, "HUB_LINKS", 5)
+    monkeypatch.setattr(superstep, "HUB_SHARE", 10)
+    assert superstep.Links(superstep.Loop(spark, "t"), g.edges).hubs == ["hub"]
+    assert everything() == plain
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    from graphloom.plans.superstep import Numbered
+    from graphloom.runtime import Scratch
+
+    ids = [f"x{i:03d}" for i in range(200)]
+    for parts in (1, 7):
+        g = PropertyGraph.create(spark, ids, [("x000", "x199")])
+        g = PropertyGraph(g.vertices.repartition(parts), g.edges)
+        numbered = Numbered(g, Scratch(spark, "t"))
+        assert [r.id for r in numbered.ids.orderBy("vid").collect()] == ids
+        assert sorted(r.vid for r in numbered.ids.collect()) == list(range(200))
+        assert [tuple(r) for r in numbered.edges.collect()] == [(0, 199)]
