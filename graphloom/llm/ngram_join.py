@@ -34,7 +34,7 @@ How it runs
    of more than ``cluster_size`` classes is compared group by group instead.
    Every pair that shares a prefix shingle is either connected or compared, so
    no link is lost, and no list of pairs is ever made.
-5. Links are contracted to components by ``contract_stars``. Joins with what is
+5. Links are contracted to components by ``connected_components``. Joins with what is
    known of sets and components broadcast the few keys that hold more than a
    thousandth of the rows, so no task takes a large group.
 
@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.cache import Memo, only, tidied
 from graphloom.llm.rows import ROW, boxed, quoted, unboxed
-from graphloom.operators.components import contract_stars
+from graphloom.operators.components import connected_components
 from graphloom.runtime import Scratch, ship_package
 
 BITS = 56
@@ -416,13 +416,13 @@ def _links(classes: DataFrame, scratch: Scratch, percent: int, cluster_size: int
     parent = stars.select(F.col("dst").alias("k"), F.col("src").alias("p1")).join(up("p1"), "p1", "left").select("k", F.coalesce("p1_up", "p1").alias("p2")).join(up("p2"), "p2", "left").select("k", F.coalesce("p2_up", "p2").alias("root"))
 
     # Pairs that may still link are inside one candidate cluster, or one group of a cluster that is too large.
-    cluster = contract_stars(groups.where("k <> lead").select(F.col("k").alias("src"), F.col("lead").alias("dst")).distinct(), scratch)
+    cluster = connected_components(groups.where("k <> lead").select(F.col("k").alias("src"), F.col("lead").alias("dst")).distinct(), scratch)
     member = scratch.table(cluster.select(F.col("id").alias("k"), "component").join(parent, "k", "left").select("k", "component", F.coalesce("root", "k").alias("root")), "members")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     small = member.join(sizes.where(F.col("size") <= cluster_size), "component").select(F.col("component").alias("unit"), F.lit(False).alias("part"), "k", "root")
     large = member.join(sizes.where(F.col("size") > cluster_size), "component").join(groups.select("g", "k"), "k").select(F.col("g").alias("unit"), F.lit(True).alias("part"), "k", "root")
     more = _compare_units(scratch.table(small.union(large), "units"), classes, scratch, percent)
-    return contract_stars(stars.union(more), scratch)
+    return connected_components(stars.union(more), scratch)
 
 
 def _compare_units(units: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, block: int = 256) -> DataFrame:
