@@ -20,6 +20,7 @@ from graphloom.operators import propagate as _propagate
 from graphloom.operators import rank as _rank
 from graphloom.operators.custom import custom as _custom
 from graphloom.plans.superstep import Cancelled
+from graphloom.runtime import Scratch
 from graphloom.sources import readers, sinks
 
 log = logging.getLogger("graphloom")
@@ -65,6 +66,10 @@ class Job:
     def done(self) -> bool:
         return self.future is not None and self.future.done()
 
+    def report(self, steps: int, of: int | None = None) -> None:
+        """Progress after some steps, of so many at most (if that is known); the last point is for the end."""
+        self.progress = min(self.total - 1, steps if of is None else self.total * steps // max(of, 1))
+
     def wait(self, timeout: float | None = None) -> Job:
         self.future.exception(timeout)
         return self
@@ -166,11 +171,18 @@ class Engine:
         if job.done and hasattr(job.result, "scratch"):
             job.result.scratch.close()
 
+    def wait(self, job_id: int) -> Job:
+        """A job once it has ended; its error is raised."""
+        job = self.job(job_id).wait()
+        if job.error:
+            raise GraphError(job.error)
+        return job
+
     def results(self, job_id: int, ids: list | None = None) -> DataFrame:
         """A finished job's result, of some vertices or all."""
-        job = self.job(job_id).wait()
-        if job.error or job.frame is None:
-            raise GraphError(job.error or f"job {job_id} has no results")
+        job = self.wait(job_id)
+        if job.frame is None:
+            raise GraphError(f"job {job_id} has no results")
         return job.frame if ids is None else job.frame.where(job.frame["id"].isin(ids))
 
     def _start(self, kind: str, total: int, graph_id: int, graph: PropertyGraph | None, work: Callable[[Job], None]) -> Job:
@@ -211,8 +223,10 @@ class Engine:
 
         def work(job: Job) -> None:
             graph = make()
+            job.report(1)
+            if job.stop.is_set():
+                raise Cancelled("cancelled")
             graph = graph.persist()
-            job.progress = 1
             with self._lock:
                 self._graphs[graph_id] = graph
             job.graph = graph
@@ -228,17 +242,17 @@ class Engine:
 
     def wcc(self, graph_id: int) -> int:
         def call(g, job):
-            c = _components.weakly_connected_components(g)
+            c = _components.weakly_connected_components(g, job.stop.is_set, job.report)
             return c, c.members, None
 
-        return self._compute("WCC", 1, graph_id, call)
+        return self._compute("WCC", 100, graph_id, call)
 
     def scc(self, graph_id: int) -> int:
         def call(g, job):
-            c = _components.strongly_connected_components(g, cancelled=job.stop.is_set)
+            c = _components.strongly_connected_components(g, cancelled=job.stop.is_set, report=job.report)
             return c, c.members, None
 
-        return self._compute("SCC", 1, graph_id, call)
+        return self._compute("SCC", 100, graph_id, call)
 
     def aggregate_components(self, graph_id: int, job_id: int, aggregation_attribute: str) -> int:
         before = self.job(job_id)
@@ -256,28 +270,29 @@ class Engine:
 
     def pagerank(self, graph_id: int, maximum_supersteps: int = 10, damping_factor: float = 0.85) -> int:
         def call(g, job):
-            r = _rank.page_rank(g, maximum_supersteps, damping_factor, job.stop.is_set)
+            r = _rank.page_rank(g, maximum_supersteps, damping_factor, job.stop.is_set, lambda n: job.report(n, maximum_supersteps))
             return r, r.ranks, r.steps
 
         return self._compute("pagerank", 100, graph_id, call)
 
     def irank(self, graph_id: int, maximum_supersteps: int = 10, damping_factor: float = 0.85) -> int:
         def call(g, job):
-            r = _rank.i_rank(g, maximum_supersteps, damping_factor, cancelled=job.stop.is_set)
+            r = _rank.i_rank(g, maximum_supersteps, damping_factor, cancelled=job.stop.is_set, report=lambda n: job.report(n, maximum_supersteps))
             return r, r.ranks, r.steps
 
         return self._compute("irank", 100, graph_id, call)
 
     def linerank(self, graph_id: int, maximum_supersteps: int = 10, damping_factor: float = 0.85) -> int:
         def call(g, job):
-            r = _rank.line_rank(g, maximum_supersteps, damping_factor, job.stop.is_set)
+            r = _rank.line_rank(g, maximum_supersteps, damping_factor, job.stop.is_set, lambda n: job.report(n, maximum_supersteps))
             return r, r.ranks, r.steps
 
         return self._compute("linerank", 100, graph_id, call)
 
     def labelpropagation(self, graph_id: int, start_label_attribute: str, synchronous: bool = False, random_tiebreak: bool = False, maximum_supersteps: int = 0, seed: int = 1) -> int:
         def call(g, job):
-            r = _propagate.label_propagation(g, start_label_attribute, maximum_supersteps or _propagate.DEFAULT_SUPERSTEPS, synchronous, random_tiebreak, seed, cancelled=job.stop.is_set)
+            most = maximum_supersteps or _propagate.DEFAULT_SUPERSTEPS
+            r = _propagate.label_propagation(g, start_label_attribute, most, synchronous, random_tiebreak, seed, cancelled=job.stop.is_set, report=lambda n: job.report(n, most))
             return r, r.labels, r.steps
 
         return self._compute("Label Propagation", 100, graph_id, call)
@@ -287,7 +302,7 @@ class Engine:
             raise GraphError("a start label attribute is needed")
 
         def call(g, job):
-            r = _propagate.attribute_propagation(g, start_label_attribute, maximum_supersteps or None, backwards, synchronous, job.stop.is_set)
+            r = _propagate.attribute_propagation(g, start_label_attribute, maximum_supersteps or None, backwards, synchronous, job.stop.is_set, lambda n: job.report(n, maximum_supersteps or None))
             return r, r.labels, r.steps
 
         return self._compute("Attribute Propagation", 100, graph_id, call)
@@ -295,7 +310,8 @@ class Engine:
     def custom(self, graph_id: int, function: Callable, mode: str = "local", result_type: str = "double") -> int:
         def call(g, job):
             out = _custom(g, function, mode, result_type)
-            out.count()  # so that a failing function fails the job
+            job.report(1)
+            out = Scratch(self.spark, "custom").table(out, "results")  # so that a failing function fails the job, and runs once
             return out, out, None
 
         return self._compute("Custom", 3, graph_id, call)
@@ -307,6 +323,9 @@ class Engine:
 
         def work(job: Job) -> None:
             frames = [self.results(s.id) for s in sources]
+            job.report(1)
+            if job.stop.is_set():
+                raise Cancelled("cancelled")
             sinks.store(frames, attribute_names, target_collection, fmt, mode)
 
-        return self._start("Store Operation", 1, 0, None, work).id
+        return self._start("Store Operation", 2, 0, None, work).id

@@ -151,3 +151,30 @@ class PropertyGraph:
     def show(self, n: int = 20) -> None:
         self.vertices.show(n, truncate=False)
         self.edges.show(n, truncate=False)
+
+
+class GraphBuilder:
+    """A small graph, vertex by vertex and edge by edge, on the driver; ``seal`` makes it a table."""
+
+    def __init__(self, attributes: list[str] | None = None):
+        self.attributes, self.rows, self.edges, self._known = list(attributes or []), [], [], set()
+
+    def insert_vertex(self, vertex: str, **values) -> None:
+        if unknown := set(values) - set(self.attributes):
+            raise GraphError(f"the graph has no attributes {sorted(unknown)}")
+        if vertex in self._known:
+            raise GraphError(f"vertex {vertex!r} exists already")
+        self._known.add(vertex)
+        self.rows.append((vertex, *(values.get(a) for a in self.attributes)))
+
+    def insert_edge(self, src: str, dst: str, checked: bool = True) -> None:
+        """An edge; ``checked``: both ends must exist already."""
+        if checked and (missing := {src, dst} - self._known):
+            raise GraphError(f"vertices {sorted(missing)} do not exist")
+        self.edges.append((src, dst))
+
+    def seal(self, spark: SparkSession) -> PropertyGraph:
+        """The graph; edges that were not checked and end nowhere are dropped."""
+        columns = {a: [r[k + 1] for r in self.rows] for k, a in enumerate(self.attributes)}
+        kept = [e for e in self.edges if set(e) <= self._known]
+        return PropertyGraph.create(spark, [r[0] for r in self.rows], kept, **columns)

@@ -61,9 +61,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, check: Callable[[in
     return found.union(alone)
 
 
-contract_stars = connected_components
-
-
 @dataclass(frozen=True)
 class Components:
     """``members`` is (id, component); a component's id is the smallest of its vertices."""
@@ -92,8 +89,10 @@ def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_0
     Rounds of: trimming vertices without an incoming or outgoing edge; joining
     chains of vertices with one edge in and one out into one edge, so that the
     steps follow what branches, not the length of paths; colouring each vertex
-    with the smallest vertex that reaches it; of each colour, the vertices that
-    reach its origin are one component. Edges between components and colours go.
+    with the first vertex that reaches it, in the order of a hash that is another
+    in each round, so that a row of components falls into several colours, however
+    it is numbered; of each colour, the vertices that reach its origin are one
+    component. Edges between components and colours go.
     Once at most ``local_edges`` edges are left they are finished on the driver,
     which that number bounds; with 0 everything stays distributed.
     """
@@ -115,7 +114,7 @@ def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_0
             rows = _tarjan([(r.src, r.dst) for r in edges.toLocalIterator()])
             found.append(scratch.table(loop.user.createDataFrame(rows, "id long, component long"), "local"))
             break
-        colour = _reach_min(edges, loop)
+        colour = _reach_first(edges, rounds, loop)
         ends = edges.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
         inner = scratch.table(ends.where("cs = cd").select("src", "dst", F.col("cs").alias("c")), "inner")
         part = _back(inner, colour, loop)
@@ -182,11 +181,11 @@ def _without_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list
         edges = scratch.table(rest.union(out.where("first <> last").select("first", "last")).distinct(), "edges")
 
 
-def _reach_min(edges: DataFrame, loop: Loop) -> DataFrame:
-    """(id, c): the smallest vertex from which each vertex can be reached."""
+def _reach_first(edges: DataFrame, salt: int, loop: Loop) -> DataFrame:
+    """(id, c): the vertex of the smallest salted hash from which each vertex can be reached."""
     links = Links(loop, edges)
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    state = loop.laid(loop.taken(ends.withColumn("c", F.col("id")).withColumn("new", F.lit(True))), "id")
+    state = loop.laid(loop.taken(ends.withColumn("c", F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), F.col("id").alias("v"))).withColumn("new", F.lit(True))), "id")
 
     def step(now: DataFrame, _: dict) -> DataFrame:
         sent = links.reach(now.where("new").select("id", "c")).groupBy("id").agg(F.min("c").alias("m"))
@@ -194,7 +193,7 @@ def _reach_min(edges: DataFrame, loop: Loop) -> DataFrame:
 
     done = loop.iterate(state, step, {"new": F.count_if("new")}, lambda m: m["new"] == 0, sys.maxsize)[0]
     links.close()
-    return loop.given(done.select("id", "c"), "colour")
+    return loop.given(done.select("id", F.col("c.v").alias("c")), "colour")
 
 
 def _back(inner: DataFrame, colour: DataFrame, loop: Loop) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Graphs derived from relational tables."""
+"""Graphs derived from relational tables, each from whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import COLLECTION, PropertyGraph
@@ -25,16 +25,26 @@ def orders_and_parts(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 
 def users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Users of consecutive events that end in the same digit; a digraph with cycles."""
+    """Every two different users of consecutive events; a dense digraph."""
     events = _read(spark, sf_dir, "events", "event_id", "user_id")
-    first = events.where("event_id % 4 = 0").select((F.col("event_id") + 1).alias("next"), F.col("user_id").alias("src"))
+    first = events.select((F.col("event_id") + 1).alias("next"), F.col("user_id").alias("src"))
     pairs = first.join(events.select(F.col("event_id").alias("next"), F.col("user_id").alias("dst")), "next")
-    edges = pairs.where("src <> dst and src % 10 = dst % 10").select("src", "dst").distinct()
+    edges = pairs.where("src <> dst").select("src", "dst").distinct()
     vertices = events.select(F.col("user_id").alias("id")).distinct()
     label = F.lpad(F.col("id").cast("string"), 8, "0")
     return PropertyGraph(vertices.select("id", label.alias("label"), F.when(F.col("id") % 3 == 0, label).alias("seed"), F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("kind")), edges, "users")
 
 
+def journeys(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Each event to its user's next one, and each error back to the signup before it: long paths with cycles."""
+    events = _read(spark, sf_dir, "events", "event_id", "user_id", "event_type").withColumnRenamed("event_id", "id")
+    own = Window.partitionBy("user_id").orderBy("id")
+    earlier = F.max(F.when(F.col("event_type") == "signup", F.col("id"))).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    both = events.select(F.col("id").alias("src"), F.lead("id").over(own).alias("next"), F.when(F.col("event_type") == "error", earlier).alias("back"))
+    ways = both.select("src", F.explode(F.array("next", "back")).alias("dst"))
+    return PropertyGraph(events.select("id", F.col("event_type").alias("kind")), ways.where("dst is not null"), "journeys")
+
+
 def geography(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Orders, customers and suppliers to nations and regions, by foreign key."""
     tables = [("region", "r_regionkey", None, None), ("nation", "n_nationkey", "n_regionkey", "region"), ("customer", "c_custkey", "c_nationkey", "nation"), ("supplier", "s_suppkey", "s_nationkey", "nation"), ("orders", "o_orderkey", "o_custkey", "customer")]

@@ -13,7 +13,8 @@ from graphloom.operators.components import aggregate_components, component_histo
 from graphloom.operators.custom import custom
 from graphloom.operators.propagate import attribute_propagation, label_propagation
 from graphloom.operators.rank import i_rank, line_rank, page_rank
-from graphloom.plans.fixtures import geography, orders_and_parts, users
+from graphloom.engine import Engine
+from graphloom.plans.fixtures import geography, journeys, orders_and_parts, users
 from graphloom.runtime import scratch_path
 from graphloom.sources import generators, readers, sinks
 
@@ -25,7 +26,12 @@ STEPS, DAMPING = 10, 0.85
 USERS = """
 v AS (SELECT DISTINCT user_id AS id FROM events),
 e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1
-      WHERE a.event_id % 4 = 0 AND a.user_id <> b.user_id AND a.user_id % 10 = b.user_id % 10)"""
+      WHERE a.user_id <> b.user_id)"""
+JOURNEYS = """
+j AS (SELECT event_id AS id, user_id, event_type AS kind, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next,
+             CASE WHEN event_type = 'error' THEN max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS back FROM events),
+v AS (SELECT id FROM j),
+e AS (SELECT id AS src, next AS dst FROM j WHERE next IS NOT NULL UNION ALL SELECT id, back FROM j WHERE back IS NOT NULL)"""
 OPS = """
 v AS (SELECT 'O/' || o_orderkey AS id, 'O' AS c FROM orders UNION ALL SELECT 'P/' || p_partkey, 'P' FROM part),
 e AS (SELECT 'O/' || l_orderkey AS src, 'P/' || l_partkey AS dst FROM lineitem)"""
@@ -55,7 +61,7 @@ def rank_sql(graph: str, steps: int, by_collection: bool) -> str:
 
 def line_rank_sql(steps: int) -> str:
     parts = [
-        f"WITH {USERS.strip()}",
+        f"WITH {JOURNEYS.strip()}",
         "m AS (SELECT count(*) AS m FROM e)",
         "d AS (SELECT src, count(*) AS o FROM e GROUP BY src)",
         "x0 AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / m AS x FROM e, m)",
@@ -69,14 +75,17 @@ def line_rank_sql(steps: int) -> str:
     return ",\n".join(parts) + f"\nSELECT v.id, round(coalesce(sum(x), 0), 9) AS rank FROM v LEFT JOIN ({ends}) t ON t.id = v.id GROUP BY v.id"
 
 
-CLOSURE = "r(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, s.dst FROM r JOIN s ON r.b = s.src)"
 BOTH_WAYS = "s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-WCC_USERS = f"WITH RECURSIVE {USERS.strip()},\n{BOTH_WAYS},\n{CLOSURE},\ncc AS (SELECT b AS id, min(a) AS component FROM r GROUP BY b)"
-SCC_USERS = f"WITH RECURSIVE {USERS.strip()},\ns AS (SELECT src, dst FROM e),\n{CLOSURE},\ncc AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+#: A journey is one weak component. Two events in a row are strongly connected if an error after the first leads back to it or before it.
+WCC_JOURNEYS = f"WITH {JOURNEYS.strip()},\ncc AS (SELECT id, kind, min(id) OVER (PARTITION BY user_id) AS component FROM j)"
+SCC_JOURNEYS = f"""WITH {JOURNEYS.strip()},
+on_ AS (SELECT id, user_id, kind, coalesce(min(back) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= id, FALSE) AS on_ FROM j),
+cut AS (SELECT *, NOT coalesce(lag(on_) OVER (PARTITION BY user_id ORDER BY id), FALSE) AS starts FROM on_),
+cc AS (SELECT id, kind, max(CASE WHEN starts THEN id END) OVER (PARTITION BY user_id ORDER BY id) AS component FROM cut)"""
 
 
-def label_sql(steps: int) -> str:
-    parts = [f"WITH {USERS.strip()}", "s AS MATERIALIZED (SELECT src AS id, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e)", "l0 AS MATERIALIZED (SELECT id, lpad(id::VARCHAR, 8, '0') AS label FROM v)"]
+def label_sql(steps: int, graph: str = USERS, label: str = "lpad(id::VARCHAR, 8, '0')") -> str:
+    parts = [f"WITH {graph.strip()}", "s AS MATERIALIZED (SELECT src AS id, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e)", f"l0 AS MATERIALIZED (SELECT id, {label} AS label FROM v)"]
     for k in range(steps):
         parts.append(
             f"l{k + 1} AS MATERIALIZED (SELECT a.id, coalesce(w.label, a.label) AS label FROM l{k} a LEFT JOIN (SELECT id, label FROM (SELECT s.id, label, row_number() OVER (PARTITION BY s.id ORDER BY count(*) DESC, label) AS n"
@@ -85,6 +94,12 @@ def label_sql(steps: int) -> str:
     return ",\n".join(parts) + f"\nSELECT id, label FROM l{steps}"
 
 
+def _as_table(sql: str, name: str) -> str:
+    """The common tables of a query, and its result as one more of them."""
+    head, last = sql.rsplit("\n", 1)
+    return head.removeprefix("WITH ").removeprefix(",").lstrip() + f",\n{name} AS ({last})"
+
+
 def attribute_sql(backwards: bool) -> str:
     a, b = ("dst", "src") if backwards else ("src", "dst")
     return f"""WITH RECURSIVE {USERS.strip()},
@@ -108,7 +123,7 @@ def q_pagerank(spark, d):
 
 
 def q_pagerank_top(spark, d):
-    ranks = _ranks(page_rank(users(spark, d), STEPS, DAMPING).ranks)
+    ranks = _ranks(page_rank(journeys(spark, d), STEPS, DAMPING).ranks)
     return ranks.orderBy(F.desc("rank"), "id").limit(20)
 
 
@@ -117,11 +132,11 @@ def q_irank(spark, d):
 
 
 def q_linerank(spark, d):
-    return _ranks(line_rank(users(spark, d), STEPS, DAMPING).ranks)
+    return _ranks(line_rank(journeys(spark, d), STEPS, DAMPING).ranks)
 
 
 def q_wcc(spark, d):
-    return weakly_connected_components(users(spark, d)).members
+    return weakly_connected_components(journeys(spark, d)).members
 
 
 def q_wcc_ops(spark, d):
@@ -132,22 +147,22 @@ def q_wcc_ops(spark, d):
 
 
 def q_scc(spark, d):
-    return strongly_connected_components(users(spark, d)).members
+    return strongly_connected_components(journeys(spark, d)).members
 
 
 def q_scc_distributed(spark, d):
     """Without the finish on the driver."""
-    return strongly_connected_components(users(spark, d), local_edges=0).members
+    return strongly_connected_components(journeys(spark, d), local_edges=0).members
 
 
 def q_aggregate_wcc(spark, d):
-    flat = component_histogram(weakly_connected_components(users(spark, d)), "kind")
+    flat = component_histogram(weakly_connected_components(journeys(spark, d)), "kind")
     return flat.select("component", "value", F.col("count").alias("n"), "size")
 
 
 def q_aggregate_scc(spark, d):
     """The map form of the aggregation, one text for each component."""
-    out = aggregate_components(strongly_connected_components(users(spark, d)), "kind")
+    out = aggregate_components(strongly_connected_components(journeys(spark, d)), "kind")
     entries = F.transform(F.map_entries("aggregation"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return out.select("_key", "representative", "size", F.array_join(F.array_sort(entries), ",").alias("aggregation"))
 
@@ -165,7 +180,7 @@ def q_label_async(spark, d):
 
 
 def q_label_async_batched(spark, d):
-    return label_propagation(users(spark, d), "label", 2, synchronous=False, sequential_edges=0).labels
+    return label_propagation(journeys(spark, d), "@id", 2, synchronous=False, sequential_edges=0).labels
 
 
 def q_attribute_forward(spark, d):
@@ -260,7 +275,7 @@ def q_load_ldbc(spark, d):
 
 def q_store(spark, d):
     """Two results side by side, written, then updated with a third."""
-    g, path = users(spark, d), scratch_path(spark, "store")
+    g, path = journeys(spark, d), scratch_path(spark, "store")
     sinks.store([g.out_degrees(), g.in_degrees()], ["o", "i"], path)
     return sinks.store([weakly_connected_components(g).members], ["component"], path, mode="update")
 
@@ -277,7 +292,7 @@ def q_custom_spark(spark, d):
 
 def q_custom_component(spark, d):
     """A user function over each component's edges, on the executors."""
-    return custom(users(spark, d), _ends_of_component, "component", "long")
+    return custom(journeys(spark, d), _ends_of_component, "component", "long")
 
 
 def _ends_of_component(edges):
@@ -300,6 +315,40 @@ def q_generators(spark, d):
     return sizes.union(hub)
 
 
+def q_engine_store(spark, d):
+    """A service session: load collections, rank, find components and communities, store them side by side."""
+    g, path = geography(spark, d), scratch_path(spark, "engine")
+    g.vertices.select(F.col("id").alias("_id")).write.parquet(f"{path}/things")
+    g.edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).write.parquet(f"{path}/links")
+    e = Engine(spark)
+    try:
+        load, graph = e.load(vertex_collections=["things"], edge_collections=["links"], database=path, fmt="parquet", vertex_attributes=[COLLECTION])
+        e.wait(load)
+        jobs = [e.irank(graph, STEPS, DAMPING), e.wcc(graph), e.labelpropagation(graph, "@id", synchronous=True, maximum_supersteps=3)]
+        e.wait(e.store(jobs, ["rank", "component", "label"], f"{path}/out"))
+        e.drop_graph(graph)
+    finally:
+        e.shutdown()
+    return spark.read.parquet(f"{path}/out").select("id", F.round("rank", 9).alias("rank"), "component", "label")
+
+
+def q_engine_aggregate(spark, d):
+    """A service session over queries: strong components of the journeys, and what kinds of events they hold."""
+    g = journeys(spark, d)
+    g.vertices.createOrReplaceTempView("graphloom_events")
+    g.edges.createOrReplaceTempView("graphloom_ways")
+    e = Engine(spark)
+    try:
+        load, graph = e.load_sql("SELECT id AS _id, kind FROM graphloom_events", "SELECT src AS _from, dst AS _to FROM graphloom_ways")
+        e.wait(load)
+        components = e.scc(graph)
+        out = e.results(e.aggregate_components(graph, components, "kind"))
+    finally:
+        e.shutdown()
+    entries = F.transform(F.map_entries("aggregation"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return out.select("_key", "size", F.array_join(F.array_sort(entries), ",").alias("aggregation"))
+
+
 def q_memory(spark, d):
     g = users(spark, d)
     return spark.createDataFrame([(g.vertex_count, g.edge_count, g.memory_bytes() > 0)], "n_vertices long, n_edges long, known boolean")
@@ -340,15 +389,17 @@ QUERIES: dict[str, Query] = {
     "custom_local": q_custom_local,
     "generators": q_generators,
     "memory": q_memory,
+    "engine_store": q_engine_store,
+    "engine_aggregate": q_engine_aggregate,
 }
 
-_HISTOGRAM = "h AS (SELECT component, 'g' || (id % 4) AS value, count(*) AS n FROM cc GROUP BY ALL), z AS (SELECT component, sum(n)::BIGINT AS size FROM h GROUP BY component)"
+_HISTOGRAM = "h AS (SELECT component, kind AS value, count(*) AS n FROM cc GROUP BY ALL), z AS (SELECT component, sum(n)::BIGINT AS size FROM h GROUP BY component)"
 ORACLES: dict[str, str] = {
     "pagerank": rank_sql(OPS, STEPS, False),
-    "pagerank_top": rank_sql(USERS, STEPS, False) + " ORDER BY rank DESC, id LIMIT 20",
+    "pagerank_top": rank_sql(JOURNEYS, STEPS, False) + " ORDER BY rank DESC, id LIMIT 20",
     "irank": rank_sql(GEO, STEPS, True),
     "linerank": line_rank_sql(STEPS),
-    "wcc": WCC_USERS + "\nSELECT id, component FROM cc",
+    "wcc": WCC_JOURNEYS + "\nSELECT id, component FROM cc",
     "wcc_sizes": f"""WITH RECURSIVE {OPS.strip()},
 {BOTH_WAYS},
 cc(id, component) USING KEY (id) AS (
@@ -356,10 +407,10 @@ cc(id, component) USING KEY (id) AS (
   UNION
   SELECT s.src, min(n.component) FROM cc n JOIN s ON s.dst = n.id JOIN recurring.cc x ON x.id = s.src WHERE n.component < x.component GROUP BY s.src)
 SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM cc GROUP BY component) GROUP BY size""",
-    "scc": SCC_USERS + "\nSELECT id, component FROM cc",
-    "scc_distributed": SCC_USERS + "\nSELECT id, component FROM cc",
-    "aggregate_wcc": f"{WCC_USERS},\n{_HISTOGRAM}\nSELECT component, value, n, size FROM h JOIN z USING (component)",
-    "aggregate_scc": f"{SCC_USERS},\n{_HISTOGRAM}\nSELECT component::VARCHAR AS _key, component AS representative, size, string_agg(value || '=' || n, ',' ORDER BY value) AS aggregation FROM h JOIN z USING (component) GROUP BY component, size",
+    "scc": SCC_JOURNEYS + "\nSELECT id, component FROM cc",
+    "scc_distributed": SCC_JOURNEYS + "\nSELECT id, component FROM cc",
+    "aggregate_wcc": f"{WCC_JOURNEYS},\n{_HISTOGRAM}\nSELECT component, value, n, size FROM h JOIN z USING (component)",
+    "aggregate_scc": f"{SCC_JOURNEYS},\n{_HISTOGRAM}\nSELECT component::VARCHAR AS _key, component AS representative, size, string_agg(value || '=' || n, ',' ORDER BY value) AS aggregation FROM h JOIN z USING (component) GROUP BY component, size",
     "label_propagation_sync": label_sql(5),
     "attribute_propagation_forward": attribute_sql(False),
     "attribute_propagation_backward": attribute_sql(True),
@@ -378,10 +429,19 @@ SELECT id, count(*) AS n_labels, string_agg(label, ',' ORDER BY label) AS labels
     "load_json": f"WITH {GEO.strip()}\nSELECT c AS kind, split_part(id, '/', 1) AS name, count(*) AS n, sum(coalesce(i, 0))::BIGINT AS in_edges FROM v LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY dst) USING (id) GROUP BY 1, 2",
     "load_sql": "SELECT n_name AS name, count(c_custkey) AS in_degree FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name",
     "load_ldbc": f"WITH {USERS.strip()}\nSELECT v.id::VARCHAR AS id, count(src) AS out_degree FROM v LEFT JOIN e ON src = id GROUP BY v.id",
-    "store": f"{WCC_USERS}\nSELECT cc.id, coalesce(o, 0) AS o, coalesce(i, 0) AS i, component FROM cc LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY src) USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY dst) USING (id)",
+    "store": f"{WCC_JOURNEYS}\nSELECT cc.id, coalesce(o, 0) AS o, coalesce(i, 0) AS i, component FROM cc LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY src) USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY dst) USING (id)",
     "custom_spark": f"WITH {USERS.strip()}\nSELECT v.id, nullif(count(b.src), 0) AS result FROM v LEFT JOIN (SELECT x.src FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src) b ON b.src = v.id GROUP BY v.id",
-    "custom_component": f"{WCC_USERS}\nSELECT cc.id, n AS result FROM cc LEFT JOIN (SELECT component, count(*) AS n FROM e JOIN cc ON src = id GROUP BY component) k USING (component)",
+    "custom_component": f"{WCC_JOURNEYS}\nSELECT cc.id, n AS result FROM cc LEFT JOIN (SELECT component, count(*) AS n FROM e JOIN cc ON src = id GROUP BY component) k USING (component)",
     "custom_local": f"WITH {USERS.strip()}\nSELECT v.id, nullif(count(src), 0) AS result FROM v LEFT JOIN e ON src = id GROUP BY v.id",
     "generators": "SELECT * FROM (VALUES ('cycle', 10::BIGINT, 10::BIGINT, NULL::DOUBLE), ('btree', 31, 30, NULL), ('complete', 5, 10, NULL), ('star', 10, 60, 0.49008)) t(name, n_vertices, n_edges, rank)",
+    "engine_store": f"""WITH RECURSIVE {rank_sql(GEO, STEPS, True).removeprefix("WITH ").replace("SELECT id, round(rank, 9) AS rank FROM", "ranked AS (SELECT id, round(rank, 9) AS rank FROM").replace(chr(10) + "ranked", "," + chr(10) + "ranked")}),
+{BOTH_WAYS},
+cc(id, component) USING KEY (id) AS (
+  SELECT id, id FROM v
+  UNION
+  SELECT s.src, min(n.component) FROM cc n JOIN s ON s.dst = n.id JOIN recurring.cc x ON x.id = s.src WHERE n.component < x.component GROUP BY s.src),
+{_as_table(label_sql(3, "", "id"), "labelled").replace("s AS MATERIALIZED", "near AS MATERIALIZED").replace("FROM s JOIN", "FROM near s JOIN")}
+SELECT id, rank, component, label FROM ranked JOIN cc USING (id) JOIN labelled USING (id)""",
+    "engine_aggregate": f"{SCC_JOURNEYS},\n{_HISTOGRAM}\nSELECT component::VARCHAR AS _key, size, string_agg(value || '=' || n, ',' ORDER BY value) AS aggregation FROM h JOIN z USING (component) GROUP BY component, size",
     "memory": f"WITH {USERS.strip()}\nSELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, TRUE AS known",
 }

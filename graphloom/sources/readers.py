@@ -111,6 +111,14 @@ def from_sql(spark: SparkSession, vertex_query: str, edge_query: str, vertex_att
     return from_tables(vertices, spark.sql(edge_query), attributes, **more)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(id, result) of a Parquet file with exactly the columns Node and Result."""
+    df = spark.read.parquet(path)
+    if sorted(df.columns) != ["Node", "Result"]:
+        raise GraphError(f"results have the columns Node and Result, not {df.columns}")
+    return df.select(F.col("Node").alias("id"), F.col("Result").alias("result"))
+
+
 def from_ldbc(spark: SparkSession, prefix: str, check_counts: bool = True, id_prefix: str = "") -> PropertyGraph:
     """A graph of ``prefix``.v (an id a line), ``prefix``.e (source and target, blank-separated) and ``prefix``.properties.
 

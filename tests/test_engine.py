@@ -81,8 +81,30 @@ def test_failures(engine, graph_id):
 
 
 def test_cancel(spark, engine, graph_id):
-    job = engine.labelpropagation(graph_id, "kind", True, maximum_supersteps=10_000)
-    time.sleep(1)
-    engine.cancel(job)
-    done = engine.job(job).wait(60)
-    assert done.error in (None, "cancelled")
+    """A job that would run for hours ends at once, inside a Spark job as well as between steps."""
+
+    def endless(vertices, edges):
+        return spark.range(1 << 40).selectExpr("string(id) as id", "double(hash(id)) as result").groupBy("id").max("result").withColumnRenamed("max(result)", "result")
+
+    pair = PropertyGraph.create(spark, ["A", "B"], [("A", "B")], label=["a", "b"])  # its labels swap for ever
+    number = engine.register(pair)
+    jobs = [engine.custom(graph_id, endless, "spark"), engine.labelpropagation(number, "label", True, maximum_supersteps=1 << 40)]
+    time.sleep(4)
+    assert not any(engine.job(j).done for j in jobs)
+    for j in jobs:
+        engine.cancel(j)
+    for j in jobs:
+        done = engine.job(j).wait(60)
+        assert done.error == "cancelled" and done.runtime < 60 and done.info()["error"]
+        with pytest.raises(GraphError):
+            engine.results(j)
+
+
+def test_progress(spark, engine):
+    number = engine.register(PropertyGraph(spark.range(2000), spark.range(1999).selectExpr("id as src", "id + 1 as dst")))
+    job = engine.wcc(number)
+    seen = set()
+    while not engine.job(job).done:
+        seen.add(engine.job(job).progress)
+        time.sleep(0.05)
+    assert engine.wait(job).progress == 100 and len(seen) > 3 and max(seen) < 100

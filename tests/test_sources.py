@@ -123,3 +123,41 @@ def test_load_relative_to_a_database(spark, collections):
     assert g.edge_count == 2
     named = {"edgeDefinitions": [{"collection": "e", "from": ["v"], "to": ["w"]}]}
     assert readers.load(spark, named, database=f"file://{collections}").edge_count == 2
+
+
+def test_store_that_fails_leaves_the_target(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = f"file://{tmp_path}/out"
+    ids = spark.range(5).select("id", F.col("id").alias("x"))
+    sinks.store([ids], ["x"], path, mode="update")
+    broken = spark.range(5).select("id", F.raise_error(F.lit("no")).cast("long").alias("y"))
+    with pytest.raises(Exception, match="no"):
+        sinks.store([broken], ["y"], path, mode="update")
+    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").collect()] == [(i, i) for i in range(5)]
+    out = sinks.store([spark.range(3, 7).select("id", (F.col("id") * 2).alias("x"))], ["x"], path, mode="update")
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 0), (1, 1), (2, 2), (3, 6), (4, 8), (5, 10), (6, 12)]
+    import os
+
+    assert os.listdir(tmp_path) == ["out"]
+
+
+def test_files_for_programs_outside(spark, tmp_path):
+    from graphloom.graph import GraphBuilder, GraphError
+
+    b = GraphBuilder(["kind"])
+    b.insert_vertex("a", kind="x")
+    b.insert_vertex("b")
+    b.insert_edge("a", "b")
+    b.insert_edge("a", "nowhere", checked=False)
+    for bad in (lambda: b.insert_edge("a", "nowhere"), lambda: b.insert_vertex("a"), lambda: b.insert_vertex("c", other=1)):
+        with pytest.raises(GraphError):
+            bad()
+    g = b.seal(spark)
+    assert g.vertex_count == 2 and [tuple(e) for e in g.edges.collect()] == [("a", "b")]
+    sinks.write_edges(g, f"{tmp_path}/e")
+    assert [(r._from, r._to) for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [("a", "b")]
+    sinks.write_results(g.out_degrees(), f"{tmp_path}/r")
+    assert sorted(map(tuple, readers.read_results(spark, f"{tmp_path}/r").collect())) == [("a", 1), ("b", 0)]
+    with pytest.raises(GraphError):
+        readers.read_results(spark, f"{tmp_path}/e")
