@@ -72,7 +72,7 @@ def encoder(path: str) -> LibraryEncoder:
     return only(("library", path), lambda: LibraryEncoder(path))
 
 
-def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 256 << 20, least_bytes: int = 8 << 20, stripe_bytes: int = 64 << 20, rows_per_group: int = 1000) -> None:
+def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 256 << 20, least_bytes: int = 8 << 20, stripe_bytes: int = 16 << 20, rows_per_group: int = 1000) -> None:
     """Write ``df``'s texts as ids, in ascending order of ``id_col``."""
     spark = df.sparkSession
     ship_package(spark)
