@@ -130,7 +130,8 @@ def token_digests(df: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
     """Write ``df``'s ids to the shared folder, read them back, and return their layout."""
     spark = df.sparkSession
     path = scratch_path(spark, "token_orc")
-    write_token_orc(df, path, tokenizer_path, end_id=end_id)
-    out = token_layout(spark, path)
-    delete_path(spark, path)
-    return out
+    try:
+        write_token_orc(df, path, tokenizer_path, end_id=end_id)
+        return token_layout(spark, path)  # written, so it does not need the files any more
+    finally:
+        delete_path(spark, path)
