@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.values import label_list, label_text
 from graphloom.graph import GraphError, PropertyGraph
-from graphloom.plans.superstep import Links, Loop, Numbered
+from graphloom.plans.superstep import Links, Loop, Numbered, as_data
 from graphloom.runtime import Scratch
 
 DEFAULT_SUPERSTEPS = 64
@@ -91,7 +91,7 @@ def label_propagation(
         labels, steps = run(numbered, state, supersteps, random_tiebreak, seed, loop)
         return Labels(numbered.named(labels), steps, loop.scratch)
     links = Links(loop, _bag(numbered.edges))
-    tie_of = (lambda step: F.xxhash64("id", "label", F.lit(step), F.lit(seed))) if random_tiebreak else (lambda step: F.lit(0))
+    tie_of = (lambda step: F.xxhash64("id", "label", as_data(step, F.col("id")), F.lit(seed))) if random_tiebreak else (lambda step: F.lit(0))
     state = loop.laid(loop.taken(state.withColumn("moved", F.lit(False))), "id")
     count = iter(range(supersteps))
     final, steps = loop.iterate(state, lambda s, _: _vote(links, s.drop("moved"), tie_of(next(count))), {"moved": F.count_if("moved")}, lambda m: m["moved"] == 0, supersteps)
@@ -146,7 +146,7 @@ def _by_colour(numbered: Numbered, start: DataFrame, supersteps: int, random_tie
             loop.check(steps)
             tie = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(str(steps)), F.col("id").cast("string"), "label")) if random_tiebreak else F.lit(0)
             watch, old = Observation(), state
-            state = loop.cut(_vote(links, old.select("id", "label"), tie, F.col("colour") == k).observe(watch, F.count_if("moved").alias("moved")))
+            state = loop.cut(_vote(links, old.select("id", "label"), tie, F.col("colour") == as_data(k, F.col("id"))).observe(watch, F.count_if("moved").alias("moved")))
             moved += watch.get["moved"]
             loop.drop(old)
         steps += 1

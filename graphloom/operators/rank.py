@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.values import reciprocal
 from graphloom.graph import COLLECTION, PropertyGraph
-from graphloom.plans.superstep import Links, Loop, Numbered
+from graphloom.plans.superstep import Links, Loop, Numbered, as_data
 from graphloom.runtime import Scratch
 
 TOLERANCE = 1e-7
@@ -45,7 +45,7 @@ def _power_iteration(graph: PropertyGraph, base, supersteps: int, damping: float
         passed = state.where("part is not null").select("id", (F.col("part") * F.col("rank")).alias("passed"))
         gathered = links.reach(passed).groupBy("id").agg(F.sum(F.col("times") * F.col("passed")).alias("sum"))
         share = damping * (seen["sinks"] or 0.0) / max(n, 1)
-        rank = (1 - damping) * F.col("base") + F.coalesce("sum", F.lit(0.0)) + F.lit(share)
+        rank = (1 - damping) * F.col("base") + F.coalesce("sum", F.lit(0.0)) + as_data(share, F.col("id"))
         return state.join(gathered, "id", "left").select("id", "base", "part", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
 
     metrics = {"moved": F.max("moved"), "sinks": lost}

@@ -18,6 +18,11 @@ class Cancelled(RuntimeError):
     """Raised between supersteps once a job has been cancelled."""
 
 
+def as_data(value: float | int, row: Column) -> Column:
+    """``value`` as data of the plan. A constant would stand in the generated code, which is then compiled anew whenever it changes; ``row``, any column without nulls, keeps it from being folded into one."""
+    return F.element_at(F.array(F.lit(value), F.lit(value)), F.when(row.isNull(), 2).otherwise(1))
+
+
 class Loop:
     """The tables of one iteration: dealt by a key, sorted by it, and cut off from their lineage.
 
