@@ -5,14 +5,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.graph import PropertyGraph
-from graphloom.plans.superstep import Links, Loop, Numbered
+from graphloom.plans.superstep import Links, Loop, Numbered, as_data
 from graphloom.runtime import Scratch
 
 
@@ -121,28 +121,28 @@ def strongly_connected_components(graph: PropertyGraph, local_edges: int = 200_0
         found.append(part)
         done = part.select("id")
         edges = scratch.table(inner.select("src", "dst").join(done, F.col("src") == F.col("id"), "left_anti").join(done, F.col("dst") == F.col("id"), "left_anti"), "edges")
-    known = found[0] if found else loop.user.createDataFrame([], "id long, component long")
-    for part in found[1:]:
-        known = known.union(part)
-    # A chain's inner vertices belong to a component if both its ends do, or if it leads from a vertex to itself.
+    found = found or [loop.user.createDataFrame([], "id long, component long")]
     for chain in reversed(chains):
-        a = known.select(F.col("id").alias("first"), F.col("component").alias("ca"))
-        b = known.select(F.col("id").alias("last"), F.col("component").alias("cb"))
-        inside = chain.join(a, "first", "left").join(b, "last", "left").where("first = last or ca = cb").select("id", F.coalesce("ca", "first").alias("component"), F.when(F.col("ca").isNull(), F.col("first")).alias("also"))
-        inside = scratch.table(inside, "inside")
-        ends = inside.where("also is not null").select(F.col("also").alias("id"), F.col("also").alias("component")).distinct()
-        known = scratch.table(known.union(inside.select("id", "component")).union(ends), "known")
+        if len(found) > 8:
+            found = [scratch.table(_all(found), "known")]
+        found.append(scratch.table(_inside(chain, _all(found)), "inside"))
+    known = _all(found)
     least = known.groupBy("component").agg(F.min("id").alias("least"))
     known = known.join(least, "component").select("id", F.col("least").alias("component"))
     members = numbered.vertices.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return Components(graph, numbered.named(scratch.table(members, "members"), "id", "component"), scratch)
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
 def _trim(edges: DataFrame, scratch: Scratch, rounds: int = 4) -> tuple[DataFrame, int]:
     """Edges without those at vertices that nothing enters or nothing leaves, a few layers of them, and their number."""
     before = -1
     for _ in range(rounds):
-        both = edges.select(F.col("src").alias("id")).distinct().intersect(edges.select(F.col("dst").alias("id")).distinct())
+        ends = edges.select("src", F.lit(1).alias("side")).union(edges.select("dst", F.lit(2).alias("side")))
+        both = ends.groupBy(F.col("src").alias("id")).agg(F.bit_or("side").alias("sides")).where("sides = 3").select("id")
         watch = Observation()
         kept = edges.join(both, F.col("src") == F.col("id"), "left_semi").join(both, F.col("dst") == F.col("id"), "left_semi")
         edges = scratch.table(kept.observe(watch, F.count(F.lit(1)).alias("n")), "trimmed")
@@ -157,21 +157,22 @@ def _without_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list
     """Edges with chains joined into single ones, what was taken out as (id, first, last), and the edges' number.
 
     A vertex with one edge in and one out is taken out, if its hash is smaller
-    than that of its predecessor or that one is no such vertex: no two
-    neighbours go at once, and about a third of a chain goes in a round.
+    than those of its neighbours that are such vertices too: no two neighbours
+    go at once, and about a third of a chain goes in a round. The hash of a long
+    is one-to-one, so there are no ties.
     """
     taken: list[DataFrame] = []
+    none = F.lit(None).cast("long")
+    row = lambda **columns: F.struct(*(c.alias(k) for k, c in columns.items()))
     while True:
-        r = len(taken)
-        ins = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first")).where("n = 1 ").select("id", "first")
-        outs = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("last")).where("n = 1").select("id", "last")
-        inner = scratch.table(ins.join(outs, "id").where("first <> id and last <> id"), "inner")
-        hash_ = lambda c: F.struct(F.xxhash64(c, F.lit(r)), F.col(c))
-        marks = inner.select(F.col("id").alias("mark"))
-        before = inner.join(marks, F.col("first") == F.col("mark"), "left").withColumn("ok1", F.col("mark").isNull() | (hash_("id") < hash_("first"))).drop("mark")
-        both = before.join(marks, F.col("last") == F.col("mark"), "left").withColumn("ok2", F.col("mark").isNull() | (hash_("id") < hash_("last")))
+        hash_ = F.xxhash64("id", as_data(len(taken), F.col("id")))
+        ends = edges.select(F.inline(F.array(row(id=F.col("dst"), first=F.col("src"), last=none), row(id=F.col("src"), first=none, last=F.col("dst")))))
+        inner = ends.groupBy("id").agg(F.count("first").alias("ins"), F.count("last").alias("outs"), F.min("first").alias("first"), F.min("last").alias("last")).where("ins = 1 and outs = 1")
+        sent = inner.select(F.inline(F.array(row(id=F.col("id"), first=F.col("first"), last=F.col("last"), h=none), *(row(id=F.col(c), first=none, last=none, h=hash_) for c in ("first", "last")))))
+        met = sent.groupBy("id").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.min("h").alias("h"))
         watch = Observation()
-        out = scratch.table(both.where("ok1 and ok2").select("id", "first", "last").observe(watch, F.count(F.lit(1)).alias("n")), "chain")
+        out = met.where(F.col("first").isNotNull() & (F.col("h").isNull() | (hash_ < F.col("h")))).select("id", "first", "last")
+        out = scratch.table(out.observe(watch, F.count(F.lit(1)).alias("n")), "chain")
         if watch.get["n"] == 0:
             return edges, taken, edges.count()
         taken.append(out)
@@ -181,6 +182,21 @@ def _without_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list
         edges = scratch.table(rest.union(out.where("first <> last").select("first", "last")).distinct(), "edges")
 
 
+def _inside(chain: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, component) of what the ``known`` components say of vertices taken out.
+
+    Such a vertex belongs to a component if both its ends do, or if it leads from
+    a vertex to itself; that vertex is then known too.
+    """
+    none = F.lit(None).cast("long")
+    ends = chain.select(F.col("id").alias("of"), F.posexplode(F.array("first", "last")).alias("last", "id"))
+    said = known.join(ends, "id").select(F.col("of").alias("id"), none.alias("first"), none.alias("last"), F.when(F.col("last") == 0, F.col("component")).alias("ca"), F.when(F.col("last") == 1, F.col("component")).alias("cb"))
+    rows = chain.select("id", "first", "last", none.alias("ca"), none.alias("cb")).union(said)
+    inside = rows.groupBy("id").agg(*(F.max(c).alias(c) for c in ("first", "last", "ca", "cb"))).where("first = last or ca = cb")
+    own, origin = F.struct("id", F.coalesce("ca", "first").alias("component")), F.struct(F.col("first").alias("id"), F.col("first").alias("component"))
+    return inside.select(F.inline(F.when(F.col("ca").isNull(), F.array(own, origin)).otherwise(F.array(own)))).distinct()
+
+
 def _reach_first(edges: DataFrame, salt: int, loop: Loop) -> DataFrame:
     """(id, c): the vertex of the smallest salted hash from which each vertex can be reached."""
     links = Links(loop, edges)

@@ -108,3 +108,25 @@ def test_cancelled_between_rounds(spark):
         weakly_connected_components(g, cancelled=lambda: next(calls))
     with pytest.raises(Cancelled):
         strongly_connected_components(g, cancelled=lambda: True)
+
+
+def test_inner_vertices_of_chains(spark):
+    known = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, component long")
+    # Within a component, between two, from a known vertex to itself, twice from an unknown one, between unknown ones.
+    chain = spark.createDataFrame([(10, 1, 2), (11, 1, 3), (12, 3, 3), (13, 7, 7), (14, 7, 7), (15, 8, 9)], "id long, first long, last long")
+    got = sorted(tuple(r) for r in components._inside(chain, known).collect())
+    assert got == [(7, 7), (10, 1), (12, 3), (13, 7), (14, 7)]
+    assert components._inside(chain.limit(0), known).count() == 0
+
+
+def test_chains_are_joined_into_edges(spark):
+    scratch = components.Scratch(spark, "test")
+    edges = spark.createDataFrame([(a, a + 1) for a in range(40)] + [(0, 100), (100, 40), (40, 200), (40, 201)], "src long, dst long")
+    rest, taken, n = components._without_chains(edges, scratch)
+    rows = [r for t in taken for r in t.collect()]
+    assert sorted((r.src, r.dst) for r in rest.collect()) == [(0, 40), (40, 200), (40, 201)] and n == 3
+    assert sorted(r.id for r in rows) == [*range(1, 40), 100]
+    for t in taken:  # no two neighbours at once
+        ids = {r.id for r in t.collect()}
+        assert not any(r.first in ids or r.last in ids for r in t.collect())
+    scratch.close()
