@@ -22,23 +22,25 @@ gives an empty folder with the schema. Other columns are not written.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.cache import only, tidied
 from graphloom.llm.rows import quoted
-from graphloom.llm.words import encode_texts
+from graphloom.llm.words import Recent, encode_texts
 from graphloom.runtime import Scratch, delete_path, scratch_path, ship_package
 
 SCHEMA = "doc_id long, pos long, ids array<int>"
 
 
 class LibraryEncoder:
-    """Ids by the ``tokenizers`` library, called once for each distinct word of a batch."""
+    """Ids by the ``tokenizers`` library, called once for each distinct word of a group of texts that the group before did not hold."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +54,7 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character stands for a byte
+        self.recent = Recent(self.words)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,11 +62,12 @@ class LibraryEncoder:
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words in one go: a word's ids end where the bytes of the tokens so far are as many as those of the words and spaces so far."""
         ids = self.whole([" " + " ".join(words)])[0]
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+        bytes_of = pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64)
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(bytes_of + 1)) + 1
         return ids, np.diff(ends, prepend=0)
 
     def batches(self, texts: pa.Array | list[str | None], end_id: int):
-        return encode_texts(texts, self.special, self.words, self.whole, (end_id,))
+        return encode_texts(texts, self.special, self.recent, self.whole, (end_id,), words_bound=sys.maxsize)
 
 
 def encoder(path: str) -> LibraryEncoder:

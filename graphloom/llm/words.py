@@ -30,10 +30,12 @@ def encode_texts(
     encode_whole: Callable[[list[str]], list[np.ndarray]],
     tail: tuple[int, ...] = (),
     group_bytes: int = 12 << 20,
+    words_bound: int = WORDS,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of texts, offsets, ids) of consecutive parts of ``texts``; null counts as empty.
 
     ``group_bytes``: of texts whose words are told apart together.
+    ``words_bound``: words that ``encode_words`` gets at once.
     """
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -41,11 +43,11 @@ def encode_texts(
     while at < len(column):
         before = total[at] - sizes[at]
         to = max(at + 1, int(np.searchsorted(total, before + group_bytes, "right")))
-        yield from _encode_group(column.slice(at, to - at).to_pylist(), specials, encode_words, encode_whole, tail)
+        yield from _encode_group(column.slice(at, to - at).to_pylist(), specials, encode_words, encode_whole, tail, words_bound)
         at = to
 
 
-def _encode_group(texts, specials, encode_words, encode_whole, tail):
+def _encode_group(texts, specials, encode_words, encode_whole, tail, words_bound):
     """As ``encode_texts``, of one group of texts.
 
     ``encode_words`` gives the ids of words, each with a space before it and
@@ -67,8 +69,8 @@ def _encode_group(texts, specials, encode_words, encode_whole, tail):
     # The pool: words, words at the end of a text, what stands before a text's first space, the tail.
     pool, sizes = [], np.zeros(len(words) + len(texts) + 1, dtype=np.int64)
     order = [*inner, *ending, *range(len(words), len(sizes))]
-    for at in range(0, len(inner), WORDS):
-        group = inner[at : at + WORDS]
+    for at in range(0, len(inner), words_bound):
+        group = inner[at : at + words_bound]
         ids, n = encode_words([words[k] for k in group])
         pool.append(ids)
         sizes[group] = n
@@ -94,6 +96,37 @@ def _encode_group(texts, specials, encode_words, encode_whole, tail):
         before = total[at] - length[at]
         to = max(at + 1, int(np.searchsorted(total, before + PART_IDS, "right")))
         part = entry[firsts[at] : stops[to - 1]]
-        n = sizes[part]
-        yield to - at, np.concatenate(([0], total[at:to] - before)).astype(np.int32), pool[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        yield to - at, np.concatenate(([0], total[at:to] - before)).astype(np.int32), gathered(pool, starts[part], sizes[part])
         at = to
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` at ``starts``, one after another."""
+    return pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+class Recent:
+    """``encode_words`` that takes the ids of the words of its last call from there.
+
+    What it holds is bounded by one call's words, and results do not depend on it.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode_words = encode_words
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array(words, pa.string())
+        place = pc.fill_null(pc.index_in(column, value_set=self.words), -1).to_numpy()
+        new, old = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        sizes, starts, parts = np.empty(len(words), np.int64), np.empty(len(words), np.int64), [self.ids]
+        sizes[old], starts[old] = self.sizes[place[old]], self.starts[place[old]]
+        for at in range(0, len(new), WORDS):
+            group = new[at : at + WORDS]
+            ids, sizes[group] = self.encode_words([words[k] for k in group])
+            parts.append(ids)
+        starts[new] = len(self.ids) + np.cumsum(sizes[new]) - sizes[new]
+        self.ids = gathered(np.concatenate(parts), starts, sizes)
+        self.words, self.sizes, self.starts = column, sizes, np.cumsum(sizes) - sizes
+        return self.ids, sizes

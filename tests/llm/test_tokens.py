@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -16,6 +17,7 @@ from graphloom.llm.bpe import codec, decode_column, encode_checked, encode_colum
 from graphloom.llm.cache import Memo
 from graphloom.llm.token_count import counter, token_counts
 from graphloom.llm.token_orc import encoder, find_documents, read_token_orc, token_digests, write_token_orc
+from graphloom.llm.words import Recent
 
 PIECES, BYTES = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
 SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -68,6 +70,25 @@ def test_library_encoder(group, most):
     assert got == [[*ids_of(t), 9] for t in group]
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.lists(st.sampled_from(["a", "the", "über", "x1", "日本", "", "it's", "\ud7ff"]), max_size=8), max_size=6))
+def test_recent_words(calls):
+    asked = []
+
+    def encode(words):
+        asked.append(words)
+        ids = [[k, *w.encode()] for k, w in enumerate(words)]
+        return np.array([x for i in ids for x in i[1:]], np.int32), np.array([len(i) - 1 for i in ids], np.int64)
+
+    recent, before = Recent(encode), set()
+    for words in (list(dict.fromkeys(c)) for c in calls):
+        asked.clear()
+        ids, sizes = recent(words)
+        assert ids.tolist() == [x for w in words for x in w.encode()] and sizes.tolist() == [len(w.encode()) for w in words]
+        assert [w for c in asked for w in c] == [w for w in words if w not in before]
+        before = set(words)
+
+
 def test_memo_is_bounded():
     memo = Memo(lambda k: k + k, limit=10)
     for k in [str(i % 37) for i in range(500)]:
