@@ -12,7 +12,8 @@ from graphloom.graph import COLLECTION, PropertyGraph
 from graphloom.plans.superstep import Links, Loop, Numbered, as_data
 from graphloom.runtime import Scratch
 
-TOLERANCE = 1e-7
+#: No rank moves by more: the walk has settled. Ranks get smaller with their number, so above ten of them it is a share of their mean.
+TOLERANCE, MEAN_OF = 1e-7, 10
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,12 @@ class Ranks:
         return max(self.steps - 1, 0)
 
 
+def _settled(n: int):
+    """Whether the ranks of ``n`` vertices or edges, which sum up to one at least, no longer move."""
+    least = TOLERANCE * min(1.0, MEAN_OF / max(n, 1))
+    return lambda seen: (seen["moved"] or 0.0) < least
+
+
 def _power_iteration(graph: PropertyGraph, base, supersteps: int, damping: float, loop: Loop) -> Ranks:
     """``base`` makes (id, base) of a numbered graph: the start rank and, times 1 - damping, the part that needs no edge."""
     numbered = Numbered(graph, loop.scratch)
@@ -49,7 +56,7 @@ def _power_iteration(graph: PropertyGraph, base, supersteps: int, damping: float
         return state.join(gathered, "id", "left").select("id", "base", "part", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
 
     metrics = {"moved": F.max("moved"), "sinks": lost}
-    state, steps = loop.iterate(first, step, metrics, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps, {"sinks": watch.get["sinks"]})
+    state, steps = loop.iterate(first, step, metrics, _settled(n), supersteps, {"sinks": watch.get["sinks"]})
     ranks = loop.given(state.select("id", "rank"))
     links.close()
     return Ranks(numbered.named(ranks), steps, loop.scratch)
@@ -58,7 +65,8 @@ def _power_iteration(graph: PropertyGraph, base, supersteps: int, damping: float
 def page_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85, cancelled=None, report=None) -> Ranks:
     """PageRank; parallel edges count, and sinks spread their rank over all vertices.
 
-    Stops when no rank moves by 1e-7 or after ``supersteps`` steps.
+    Stops when no rank moves by 1e-7, or a millionth of the mean rank if that is
+    less, or after ``supersteps`` steps.
     """
     n = max(graph.vertex_count, 1)
     loop = Loop(graph.vertices.sparkSession, "rank", cancelled, report)
@@ -104,7 +112,7 @@ def line_rank(graph: PropertyGraph, supersteps: int = 10, damping: float = 0.85,
         moved = F.when(F.col("in") > 0, F.abs(value - F.col("value"))).otherwise(0.0)
         return state.join(leaving(state), "id", "left").select("id", "norm", "in", value.alias("value"), moved.alias("moved"))
 
-    state, steps = loop.iterate(start, step, {"moved": F.max("moved")}, lambda seen: (seen["moved"] or 0.0) < TOLERANCE, supersteps)
+    state, steps = loop.iterate(start, step, {"moved": F.max("moved")}, _settled(m), supersteps)
     rank = F.coalesce("sum", F.lit(0.0)) + F.col("in") * F.col("value")
     ranks = loop.given(state.join(leaving(state), "id", "left").select("id", rank.alias("rank")))
     links.close()

@@ -74,6 +74,19 @@ def test_linerank(spark, ids, edges, want, last):
     assert all(math.isclose(got[i], w, abs_tol=1e-9) for i, w in zip(ids, want, strict=True))
 
 
+def test_ranks_of_many_do_not_settle_early(spark, monkeypatch):
+    """Ranks far below 1e-7 move by less than that from the first step on."""
+    from graphloom.operators import rank
+
+    many = spark.range(30_000_000).selectExpr("id % 3 as src", "id % 3 + 1 as dst")
+    r = line_rank(PropertyGraph(spark.range(4), many), 20, 0.85)
+    got = ranks(r)
+    assert r.last_step == 3
+    assert all(math.isclose(got[i], w, abs_tol=1e-9) for i, w in enumerate([0.128625, 0.221125, 0.1425, 0.05]))
+    monkeypatch.setattr(rank, "TOLERANCE", 0.1)
+    assert page_rank(star(spark, 30), 5, 0.85).steps == 5
+
+
 def test_hubs_make_no_difference(spark, monkeypatch):
     """Links of vertices with many are dealt apart; ranks, labels and attributes stay the same."""
     from graphloom.operators.propagate import attribute_propagation, label_propagation
