@@ -16,13 +16,15 @@ from graphloom.operators.components import weakly_connected_components
 MODES = ("spark", "local", "component")
 
 
-def custom(graph: PropertyGraph, fn: Callable, mode: str = "local", result_type: str = "double", max_local_edges: int = 1_000_000) -> DataFrame:
+def custom(graph: PropertyGraph, fn: Callable, mode: str = "local", result_type: str = "double", max_local_edges: int | None = None) -> DataFrame:
     """(id, result) of every vertex; null for vertices the function says nothing about.
 
     ``spark``: fn(vertices, edges) gives a DataFrame with id (or Node) and one
     more column. ``local``: fn(edges as pandas, with all parallel edges and
-    directions) gives a dict, a pandas or Arrow table; only for graphs of at
-    most ``max_local_edges`` edges. ``component``: fn(edges of one weakly
+    directions) gives a dict, a pandas or Arrow table. The edges come as
+    columns, 16 bytes an edge for whole-number ids, and must fit the driver with
+    what fn makes of them; ``max_local_edges``, if given, ends larger graphs with
+    an error before anything is brought. ``component``: fn(edges of one weakly
     connected component as pandas) gives a pandas table (id, result), run on the
     executors; a component must fit one of them.
     """
@@ -35,9 +37,9 @@ def custom(graph: PropertyGraph, fn: Callable, mode: str = "local", result_type:
     if mode == "spark":
         found = _as_frame(graph, fn(graph.vertices, graph.edges), id_type, result_type)
     elif mode == "local":
-        if graph.edge_count > max_local_edges:
+        if max_local_edges is not None and graph.edge_count > max_local_edges:
             raise ValueError(f"a graph of {graph.edge_count} edges is too large for mode local (at most {max_local_edges})")
-        found = _as_frame(graph, fn(graph.edges.select("src", "dst").toPandas()), id_type, result_type)
+        found = _as_frame(graph, fn(_local(graph.edges.select("src", "dst"))), id_type, result_type)
     else:
         members = weakly_connected_components(graph).members
         parts = graph.edges.join(members.select(F.col("id").alias("src"), "component"), "src")
@@ -47,6 +49,11 @@ def custom(graph: PropertyGraph, fn: Callable, mode: str = "local", result_type:
     return graph.vertices.select("id").join(found, "id", "left").select("id", "result")
 
 
+def _local(edges: DataFrame) -> pd.DataFrame:
+    """A table on the driver, as ``toPandas`` gives it, but never as rows."""
+    return edges.toArrow().to_pandas(split_blocks=True, self_destruct=True)
+
+
 def _as_frame(graph: PropertyGraph, result, id_type: str, result_type: str) -> DataFrame:
     spark, schema = graph.vertices.sparkSession, f"id {id_type}, result {result_type}"
     if isinstance(result, DataFrame):

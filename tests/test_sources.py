@@ -118,6 +118,12 @@ def test_custom_limits(spark):
         custom(g, "worker")
 
 
+def test_custom_local_brings_all_edges(spark):
+    many = PropertyGraph(spark.range(3), spark.range(1_200_000).selectExpr("id % 2 as src", "2L as dst"))
+    got = custom(many, lambda e: e.groupby("src").size().to_dict(), "local", "long")
+    assert {r.id: r.result for r in got.collect()} == {0: 600_000, 1: 600_000, 2: None}
+
+
 def test_load_relative_to_a_database(spark, collections):
     g = readers.load(spark, vertex_collections=["v", "w"], edge_collections=["e"], database=f"file://{collections}", parallelism=5, batch_size=400_000)
     assert g.edge_count == 2
