@@ -92,6 +92,32 @@ def test_long_chains_without_the_driver(spark, seed):
     assert {x.id: x.component for x in strongly_connected_components(g).members.collect()} == want
 
 
+@pytest.mark.parametrize("rows", [0, 8, 30, 100, 300_000])
+def test_blocks_of_any_size(spark, monkeypatch, rows):
+    """Cycles, chains, a hub and random edges by blocks of a few rows, of one block, and without blocks."""
+    from graphloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+    r = random.Random(rows)
+    edges = [(i, i + 1) for i in range(60)] + [(20, 11), (50, 31), (44, 2)]
+    edges += [(100, 200 + i) for i in range(30)] + [(200 + i, 100) for i in range(0, 30, 4)]
+    edges += [(r.randrange(300, 340), r.randrange(300, 340)) for _ in range(50)] + [(59, 300), (330, 5), (210, 60)]
+    ids = sorted({x for e in edges for x in e})
+    g = PropertyGraph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long"))
+    want = {i: i for i in ids} | dict(components._tarjan(edges))
+    assert {x.id: x.component for x in strongly_connected_components(g, local_edges=0).members.collect()} == want
+
+
+def test_long_journeys_take_few_rounds(spark, monkeypatch):
+    """Paths of near numbers with ways back: contraction leaves nothing for rounds of jobs."""
+    rounds = []
+    edges = spark.range(40_000).selectExpr("id as src", "id + 7 as dst").union(spark.range(0, 40_000, 11).selectExpr("id + 70 as src", "id as dst"))
+    monkeypatch.setattr(components.blocks, "BLOCK_ROWS", 20_000)
+    found = strongly_connected_components(PropertyGraph(spark.range(40_071), edges), 0, report=rounds.append)
+    assert {x.id: x.component for x in found.members.collect() if x.id != x.component} == {a: b for a, b in components._tarjan([tuple(e) for e in edges.collect()]) if a != b}
+    assert len(rounds) < 6
+
+
 def test_sorted_path_takes_few_rounds(spark):
     rounds = []
     g = PropertyGraph(spark.range(3000), spark.range(2999).selectExpr("id as src", "id + 1 as dst"))
