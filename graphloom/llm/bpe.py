@@ -7,8 +7,8 @@ A merge changes three leaves, each updated in logarithmic time, until the root
 says that no pair can be merged.
 
 Texts are split by the pre-tokenizer's pattern; merges never cross a piece, so
-a piece is merged once and remembered in a memo of bounded size. A piece may
-have any length. A special token's string inside a text becomes that token.
+a piece is merged once and remembered in a memo of bounded size, as are the ids
+of whole words. A piece may have any length. A special token's string inside a text becomes that token.
 
 Null texts count as empty and give no ids. Rows are mapped one to one.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from struct import pack
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.cache import Memo, only, tidied
 from graphloom.llm.rows import ROW, boxed, own, quoted
-from graphloom.llm.words import encode_texts
+from graphloom.llm.words import HELD, Recent, encode_texts
 from graphloom.runtime import ship_package
 
 # Fixed value: the pattern that splits text before the merges.
@@ -132,7 +133,7 @@ class MergeTree:
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -152,6 +153,7 @@ class ByteBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
         self.piece = Memo(self._piece, memo)
+        self.recent = Recent(self._words, HELD)
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids (little-endian, unsigned, 32 bits)."""
@@ -173,7 +175,7 @@ class ByteBpe:
     def batches(self, texts: pa.Array | list[str | None]):
         """(number of texts, offsets, ids) of consecutive parts of ``texts``."""
         whole = lambda group: [np.frombuffer(self._whole(t), dtype="<i4") for t in group]
-        return encode_texts(texts, list(self.special), self._words, whole)
+        return encode_texts(texts, list(self.special), self.recent, whole, words_bound=sys.maxsize)
 
     def token_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of tokens, gathered from one table."""

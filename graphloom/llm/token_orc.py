@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.cache import only, tidied
 from graphloom.llm.rows import quoted
-from graphloom.llm.words import Recent, encode_texts
+from graphloom.llm.words import HELD, Recent, encode_texts
 from graphloom.runtime import Scratch, delete_path, scratch_path, ship_package
 
 SCHEMA = "doc_id long, pos long, ids array<int>"
+#: Texts whose words are told apart together: more take memory, fewer take calls of the library.
+GROUP_BYTES = 12 << 20
 
 
 class LibraryEncoder:
-    """Ids by the ``tokenizers`` library, called once for each distinct word of a group of texts that the group before did not hold."""
+    """Ids by the ``tokenizers`` library, called once for each distinct word of a group of texts that is not held from the groups before."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +56,7 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character stands for a byte
-        self.recent = Recent(self.words)
+        self.recent = Recent(self.words, HELD)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +69,7 @@ class LibraryEncoder:
         return ids, np.diff(ends, prepend=0)
 
     def batches(self, texts: pa.Array | list[str | None], end_id: int):
-        return encode_texts(texts, self.special, self.recent, self.whole, (end_id,), words_bound=sys.maxsize)
+        return encode_texts(texts, self.special, self.recent, self.whole, (end_id,), GROUP_BYTES, sys.maxsize)
 
 
 def encoder(path: str) -> LibraryEncoder:
@@ -75,7 +77,7 @@ def encoder(path: str) -> LibraryEncoder:
     return only(("library", path), lambda: LibraryEncoder(path))
 
 
-def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 256 << 20, least_bytes: int = 8 << 20, stripe_bytes: int = 16 << 20, rows_per_group: int = 1000) -> None:
+def write_token_orc(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 64 << 20, least_bytes: int = 8 << 20, stripe_bytes: int = 16 << 20, rows_per_group: int = 1000) -> None:
     """Write ``df``'s texts as ids, in ascending order of ``id_col``."""
     spark = df.sparkSession
     ship_package(spark)
