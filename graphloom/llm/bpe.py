@@ -35,6 +35,8 @@ from graphloom.runtime import ship_package
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 100
+#: Texts whose words are told apart together.
+GROUP_BYTES = 3 << 20
 
 
 def byte_chars() -> list[str]:
@@ -175,7 +177,7 @@ class ByteBpe:
     def batches(self, texts: pa.Array | list[str | None]):
         """(number of texts, offsets, ids) of consecutive parts of ``texts``."""
         whole = lambda group: [np.frombuffer(self._whole(t), dtype="<i4") for t in group]
-        return encode_texts(texts, list(self.special), self.recent, whole, words_bound=sys.maxsize)
+        return encode_texts(texts, list(self.special), self.recent, whole, (), GROUP_BYTES, sys.maxsize)
 
     def token_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of tokens, gathered from one table."""
